@@ -6,7 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusmill.llm import common, simhash
+from corpusmill.llm import bpe, common, simhash
+
+
+def tokenizer(name: str) -> str:
+    """Place of a public tokenizer's file, the same on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(bpe.encode(common.table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json")))
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,6 +25,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_bpe": op1_bpe,
     "op9_simhash": op9_simhash,
 }
 ORACLE: dict[str, str] = {}
