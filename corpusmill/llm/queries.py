@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusmill.llm import bpe, common, simhash
+from corpusmill.llm import bpe, common, decontaminate, simhash
 
 
 def tokenizer(name: str) -> str:
@@ -24,8 +24,38 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(common.table(spark, sf_dir, "documents"), shingle_words=4, max_bits=4)
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.hits(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"), window=10)
+    return decontaminate.report(found)
+
+
+OP10_SQL = r"""
+WITH words AS (
+  SELECT 0 AS kind, CAST(doc_id AS VARCHAR) AS id, doc_id, text FROM documents
+  UNION ALL SELECT 1, CAST(item_id AS VARCHAR), NULL, text FROM benchmark
+), split AS (
+  SELECT kind, id, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM words
+), asked AS (
+  SELECT DISTINCT id, list_slice(w, k, k + 9) AS win
+  FROM (SELECT id, w, unnest(generate_series(1, greatest(1, len(w) - 9))) AS k FROM split WHERE kind = 1 AND len(w) > 0)
+), sizes AS (SELECT DISTINCT len(win) AS n FROM asked),
+runs AS (
+  SELECT doc_id, k, n, list_slice(w, k, k + n - 1) AS win
+  FROM (SELECT doc_id, w, n, unnest(generate_series(1, len(w) - n + 1)) AS k FROM split, sizes WHERE kind = 0 AND len(w) >= n)
+), found AS (SELECT r.doc_id, r.k, r.n, a.id FROM runs r JOIN asked a ON r.win = a.win),
+hit AS (
+  SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(generate_series(k, k + n - 1)) AS p FROM found) GROUP BY doc_id
+), named AS (SELECT doc_id, list_sort(list(DISTINCT id)) AS ids FROM found GROUP BY doc_id)
+SELECT s.doc_id, CAST(len(s.w) AS BIGINT) AS n_words, CAST(coalesce(h.n_hit, 0) AS BIGINT) AS n_hit,
+  CAST(coalesce(len(m.ids), 0) AS BIGINT) AS n_items, sha256(coalesce(array_to_string(m.ids, ','), '')) AS items_sha256,
+  coalesce(h.n_hit, 0) > 0 AS contaminated
+FROM split s LEFT JOIN hit h USING (doc_id) LEFT JOIN named m USING (doc_id) WHERE s.kind = 0
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op9_simhash": op9_simhash,
+    "op10_decontamination": op10_decontamination,
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op10_decontamination": OP10_SQL}
