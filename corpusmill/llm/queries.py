@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusmill.llm import bpe, common, decontaminate, simhash
+from corpusmill.llm import bpe, common, decontaminate, simhash, tokencounts
 
 
 def tokenizer(name: str) -> str:
@@ -20,6 +20,10 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode(common.table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json")))
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencounts.token_counts(common.table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), limit=512)
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(common.table(spark, sf_dir, "documents"), shingle_words=4, max_bits=4)
 
@@ -55,6 +59,7 @@ FROM split s LEFT JOIN hit h USING (doc_id) LEFT JOIN named m USING (doc_id) WHE
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op6_token_counts": op6_token_counts,
     "op9_simhash": op9_simhash,
     "op10_decontamination": op10_decontamination,
 }
