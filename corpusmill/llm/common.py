@@ -63,7 +63,7 @@ def grouped_blobs(bucket: np.ndarray, columns: list[np.ndarray]) -> Iterator[tup
     order = np.argsort(bucket, kind="stable")
     keys = bucket[order]
     cuts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.empty(0, np.int64)
-    ends = np.r_[cuts[1:], len(keys)]
+    ends = np.r_[cuts[1:], len(keys)][: len(cuts)]
     sorted_columns = [c[order] for c in columns]
     for a, b in zip(cuts.tolist(), ends.tolist(), strict=True):
         yield int(keys[a]), b"".join(c[a:b].tobytes() for c in sorted_columns)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusmill.llm import bpe, common, decontaminate, simhash, tokencounts
+from corpusmill.llm import bpe, common, decontaminate, repeats, simhash, tokencounts
 
 
 def tokenizer(name: str) -> str:
@@ -24,6 +24,27 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencounts.token_counts(common.table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), limit=512)
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.digests(repeats.without_repeats(common.table(spark, sf_dir, "documents"), length=100))
+
+
+OP8_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+windows AS (SELECT doc_id, p, substr(h, 2 * p + 1, 200) AS s FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2 - 99)) AS p FROM d WHERE len(h) >= 200)),
+firsts AS (SELECT s, min((doc_id, p)) AS f FROM windows GROUP BY s HAVING count(*) > 1),
+late AS (SELECT w.doc_id, w.p FROM windows w JOIN firsts USING (s) WHERE (w.doc_id, w.p) <> firsts.f),
+marked AS (SELECT doc_id, p, CASE WHEN p <= lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 100 THEN 0 ELSE 1 END AS fresh FROM late),
+numbered AS (SELECT doc_id, p, sum(fresh) OVER (PARTITION BY doc_id ORDER BY p) AS span FROM marked),
+spans AS (SELECT doc_id, span, min(p) AS a, max(p) + 100 AS b FROM numbered GROUP BY doc_id, span),
+gaps AS (SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS g, a AS e FROM spans UNION ALL SELECT doc_id, max(b), NULL FROM spans GROUP BY doc_id),
+kept AS (SELECT doc_id, string_agg(substr(h, 2 * g + 1, 2 * (coalesce(e, len(h) // 2) - g)), '' ORDER BY g) AS k FROM gaps JOIN d USING (doc_id) GROUP BY doc_id),
+counted AS (SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans FROM spans GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(d.h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(c.n_removed, 0) AS BIGINT) AS n_removed,
+  CAST(coalesce(c.n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(k.k, d.h))) AS kept_sha256
+FROM d LEFT JOIN counted c USING (doc_id) LEFT JOIN kept k USING (doc_id)
+"""
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(common.table(spark, sf_dir, "documents"), shingle_words=4, max_bits=4)
 
@@ -60,7 +81,8 @@ FROM split s LEFT JOIN hit h USING (doc_id) LEFT JOIN named m USING (doc_id) WHE
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op6_token_counts": op6_token_counts,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op9_simhash": op9_simhash,
     "op10_decontamination": op10_decontamination,
 }
-ORACLE: dict[str, str] = {"op10_decontamination": OP10_SQL}
+ORACLE: dict[str, str] = {"op8_suffix_dedup": OP8_SQL, "op10_decontamination": OP10_SQL}
