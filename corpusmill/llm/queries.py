@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusmill.llm import bpe, common, decontaminate, repeats, simhash, tokencounts
+from corpusmill.llm import bpe, common, decontaminate, repeats, rules, simhash, tokencounts
 
 
 def tokenizer(name: str) -> str:
@@ -20,6 +20,12 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode(common.table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json")))
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents")
+    learned = rules.learn(docs, common.table(spark, sf_dir, "labels"))
+    return rules.judged(docs, learned).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencounts.token_counts(common.table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), limit=512)
 
@@ -80,6 +86,7 @@ FROM split s LEFT JOIN hit h USING (doc_id) LEFT JOIN named m USING (doc_id) WHE
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op4_quality_rules": op4_quality_rules,
     "op6_token_counts": op6_token_counts,
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_simhash": op9_simhash,
