@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from corpusmill.llm import bpe, common, decontaminate, repeats, rules, simhash, tokencounts
+from corpusmill.llm import bpe, common, decontaminate, hdlang, repeats, rules, simhash, tokencounts
 
 
 def tokenizer(name: str) -> str:
@@ -30,6 +31,12 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencounts.token_counts(common.table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), limit=512)
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents")
+    model = hdlang.learn(docs.where(~hdlang.held_out()))
+    return hdlang.predict(docs, model, keep=[F.col("doc_id"), F.coalesce(hdlang.held_out(), F.lit(False)).alias("held_out")])
+
+
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.digests(repeats.without_repeats(common.table(spark, sf_dir, "documents"), length=100))
 
@@ -88,6 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op4_quality_rules": op4_quality_rules,
     "op6_token_counts": op6_token_counts,
+    "op7_language_id": op7_language_id,
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_simhash": op9_simhash,
     "op10_decontamination": op10_decontamination,
