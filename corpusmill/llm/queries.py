@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import bpe, common, decontaminate, hdlang, repeats, rules, simhash, tokencounts
+from corpusmill.llm import bpe, common, decontaminate, hdlang, repeats, rules, simhash, tokencounts, warc
 
 
 def tokenizer(name: str) -> str:
@@ -27,6 +28,26 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judged(docs, learned).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    where = f"{common.shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    manifest = warc.write(common.table(spark, sf_dir, "pages"), where, roll_bytes=8 << 20, shard_bytes=32 << 20)
+    return warc.read(spark, where, manifest, with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP5_SQL = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
+hashed AS (SELECT page_id, octet_length(body) AS n, sha1(body) AS d FROM p),
+lasts AS (SELECT n, d, max(page_id) AS last FROM hashed GROUP BY n, d),
+bits AS (SELECT d, list_aggregate(list_transform(range(0, 40), lambda i: lpad(bin(CAST('0x' || substr(d, i + 1, 1) AS INTEGER)), 4, '0')), 'string_agg', '') AS b FROM (SELECT DISTINCT d FROM hashed)),
+coded AS (SELECT d, list_aggregate(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+  1 + 16 * CAST(substr(b, 5 * i + 1, 1) AS INTEGER) + 8 * CAST(substr(b, 5 * i + 2, 1) AS INTEGER) + 4 * CAST(substr(b, 5 * i + 3, 1) AS INTEGER)
+  + 2 * CAST(substr(b, 5 * i + 4, 1) AS INTEGER) + CAST(substr(b, 5 * i + 5, 1) AS INTEGER), 1)), 'string_agg', '') AS c FROM bits)
+SELECT h.page_id, CAST(h.n AS BIGINT) AS payload_bytes, c.c AS payload_digest, CASE WHEN h.page_id = l.last THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN h.page_id <> l.last THEN l.last END AS refers_to
+FROM hashed h JOIN lasts l USING (n, d) JOIN coded c ON h.d = c.d
+"""
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencounts.token_counts(common.table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), limit=512)
 
@@ -94,10 +115,11 @@ FROM split s LEFT JOIN hit h USING (doc_id) LEFT JOIN named m USING (doc_id) WHE
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op4_quality_rules": op4_quality_rules,
+    "op5_warc": op5_warc,
     "op6_token_counts": op6_token_counts,
     "op7_language_id": op7_language_id,
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_simhash": op9_simhash,
     "op10_decontamination": op10_decontamination,
 }
-ORACLE: dict[str, str] = {"op8_suffix_dedup": OP8_SQL, "op10_decontamination": OP10_SQL}
+ORACLE: dict[str, str] = {"op5_warc": OP5_SQL, "op8_suffix_dedup": OP8_SQL, "op10_decontamination": OP10_SQL}
