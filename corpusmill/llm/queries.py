@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import bpe, common, decontaminate, hdlang, repeats, rules, simhash, tokencounts, warc
+from corpusmill.llm import bpe, common, decontaminate, hdlang, html, repeats, rules, simhash, tokencounts, warc
 
 
 def tokenizer(name: str) -> str:
@@ -22,6 +22,11 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode(common.table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json")))
 
 
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html.extract(common.table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     learned = rules.learn(docs, common.table(spark, sf_dir, "labels"))
@@ -114,6 +119,7 @@ FROM split s LEFT JOIN hit h USING (doc_id) LEFT JOIN named m USING (doc_id) WHE
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op2_html_extraction": op2_html_extraction,
     "op4_quality_rules": op4_quality_rules,
     "op5_warc": op5_warc,
     "op6_token_counts": op6_token_counts,
