@@ -298,7 +298,7 @@ def _covered(begin: np.ndarray, end: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(begin[fresh].tolist(), reach[np.r_[fresh[1:] - 1, len(begin) - 1]].tolist(), strict=True)) if len(begin) else []
 
 
-def _finish(key, group, blobs, columns: list[str]):
+def _finish(key, group, blobs, columns: list[str], text_col: str | None):
     (kind, _, did, th, begin, end), ids, texts = _spans_of(group, blobs)
     repeat = kind == 0
     order = np.flatnonzero(repeat)[np.lexsort((th[repeat], did[repeat]))]
@@ -310,14 +310,36 @@ def _finish(key, group, blobs, columns: list[str]):
         a, b = own.get(doc, (0, 0))
         gone = _covered(begin[a:b], end[a:b])
         edges = [0, *(x for s in gone for x in s), len(text)]
+        if text_col:
+            gone = _whole_characters(text, gone)
+            edges = [0, *(x for s in gone for x in s), len(text)]
         spans.append([{"begin": x, "end": y} for x, y in gone])
         kept.append(b"".join(text[edges[k] : edges[k + 1]] for k in range(0, len(edges), 2)))
     data = {c: group.column(c) for c in columns}
-    data |= {"repeat_spans": pa.array(spans, pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))), "kept_bytes": pa.array(kept, pa.binary())}
-    return pa.table(data)
+    if text_col:
+        return pa.table(data | {text_col: pa.array([x.decode() for x in kept], pa.string())})
+    return pa.table(data | {"repeat_spans": pa.array(spans, pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))), "kept_bytes": pa.array(kept, pa.binary())})
+
+
+def _whole_characters(text: bytes, gone: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The spans without characters of which they hold only a part."""
+    out = []
+    for a, b in gone:
+        while a < b and text[a] & 0xC0 == 0x80:
+            a += 1
+        while b < len(text) and b > a and text[b] & 0xC0 == 0x80:
+            b -= 1
+        out.append((a, b))
+    return out
+
+
+def deduplicated(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents with all their columns, repeated strings cut out of ``text_col`` as without_repeats() says;
+    a character of which only a part would go stays. Null text becomes empty."""
+    return without_repeats(docs, length, id_col, text_col, as_text=True)
 
 
-def without_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def without_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text", as_text: bool = False) -> DataFrame:
     """The rows and columns of ``docs`` but for the text, with ``repeat_spans`` (maximal removed runs of bytes,
     end excluded) and ``kept_bytes`` (the remaining bytes).
 
@@ -345,8 +367,10 @@ def without_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id",
     by_group = dealt.groupBy("bucket_of")
     pieces = by_group.cogroup(one.groupBy("bucket")).applyInArrow(lambda k, g, b: pa.Table.from_batches([_deal_pieces(k, g, b, buckets)]), blobs)
     two = pieces.groupBy("bucket").applyInArrow(lambda k, g: pa.Table.from_batches([_round_two(k, g, length, groups)]), blobs)
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != text_col), "repeat_spans array<struct<begin:int,end:int>>", "kept_bytes binary"])
-    return by_group.cogroup(one.unionByName(two).groupBy("bucket")).applyInArrow(lambda k, g, b: _finish(k, g, b, others), schema)
+    result = [f"`{text_col}` string"] if as_text else ["repeat_spans array<struct<begin:int,end:int>>", "kept_bytes binary"]
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != text_col), *result])
+    done = by_group.cogroup(one.unionByName(two).groupBy("bucket")).applyInArrow(lambda k, g, b: _finish(k, g, b, others, text_col if as_text else None), schema)
+    return done.select(*docs.columns) if as_text else done
 
 
 def _group_of(did, th, groups: int):

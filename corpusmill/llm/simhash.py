@@ -258,3 +258,15 @@ def linked(prints: DataFrame, max_bits: int) -> DataFrame:
     members = connected_components(links(keyed, plan, max_bits, buckets))
     found = distinct.join(members, distinct["node"] == members["node"], "left").select("fp", F.coalesce("component", distinct["node"]).alias("component_id"))
     return prints.join(found, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def near_deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, max_bits: int = 4) -> DataFrame:
+    """The documents with all their columns, one of each component of simhash_components(): that of the smallest id.
+
+    A row whose id is null stands under a hash of its text. Of rows with one id one stays.
+    """
+    own = F.coalesce(F.col(id_col).cast("long"), F.shiftrightunsigned(F.xxhash64(F.col(text_col)), 1))
+    name = next(f"node_{k}" for k in range(len(docs.columns) + 1) if f"node_{k}" not in docs.columns)
+    found = simhash_components(docs.select(own.alias("doc_id"), F.col(text_col).cast("string").alias("text")), shingle_words=shingle_words, max_bits=max_bits)
+    stay = found.where("doc_id = component_id").select(F.col("doc_id").alias(name)).distinct()
+    return docs.withColumn(name, own).join(stay, name, "left_semi").dropDuplicates([name]).drop(name)
