@@ -86,14 +86,14 @@ class Files:
 MANIFEST = "shard int, part int, name string, temporary string, n_records long, n_bytes long, sha256 string"
 
 
-def decisions(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
-    """Rows (page_id, url, payload, digest, refers_to): of equal payloads that with the largest page_id is the response."""
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.coalesce(F.col(url_col).cast("string"), F.lit("")).alias("url"), F.encode(F.coalesce(F.col(html_col).cast("string"), F.lit("")), "UTF-8").alias("payload"))
-    keyed = rows.withColumn("digest", F.sha1("payload")).withColumn("n", F.length("payload"))
-    # Only digests with several rows need a join, so the payloads of the others stay where they are.
-    last = keyed.groupBy("digest", "n").agg(F.max("page_id").alias("last"))
-    found = keyed.join(last, ["digest", "n"])
-    return found.select("page_id", "url", "payload", "digest", F.when(~F.col("page_id").eqNullSafe(F.col("last")), F.col("last")).alias("refers_to"))
+def revisits(rows: DataFrame) -> DataFrame:
+    """Rows (page_id, digest, refers_to) of records that are not the one with the largest page_id of their payload.
+
+    Payloads are compared by SHA-1 and length; they stay where they are.
+    """
+    keyed = rows.select("page_id", F.sha1("payload").alias("digest"), F.length("payload").alias("n"))
+    last = keyed.groupBy("digest", "n").agg(F.max("page_id").alias("refers_to"))
+    return keyed.join(last, ["digest", "n"]).where(~F.col("page_id").eqNullSafe(F.col("refers_to"))).select("page_id", "digest", "refers_to").distinct()
 
 
 def shard_of(rows: DataFrame, shard_bytes: int):
@@ -121,14 +121,15 @@ def write(pages: DataFrame, where: str, roll_bytes: int = ROLL_BYTES, shard_byte
     rows with an id; where all ids of a payload are null, or several rows share the largest, each of these is a
     response. An empty table gives no files. Other columns are ignored.
     """
-    rows = decisions(pages, id_col, url_col, html_col)
-    ids = pages.select(F.col(id_col).cast("long").alias("page_id"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("payload"))
-    shard = shard_of(ids.withColumn("payload", F.encode("payload", "UTF-8")), shard_bytes)
+    page_id, payload = F.col(id_col).cast("long").alias("page_id"), F.encode(F.coalesce(F.col(html_col).cast("string"), F.lit("")), "UTF-8").alias("payload")
+    rows = pages.select(page_id, F.coalesce(F.col(url_col).cast("string"), F.lit("")).alias("url"), payload)
+    shard = shard_of(rows, shard_bytes)
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files = Files(where)
         files.fs.create_dir(files.path("_temporary"), recursive=True)
         out, done, now = None, [], None
+        ahead, ahead_of = {}, object()  # revisits of the page id at hand, by digest; they are sorted before its pages
 
         def close():
             nonlocal out
@@ -138,7 +139,13 @@ def write(pages: DataFrame, where: str, roll_bytes: int = ROLL_BYTES, shard_byte
                 out = None
 
         for piece in pieces_of(batches, "payload", 8 << 20):
-            for s, page_id, url, payload, refers in zip(*(piece.column(c).to_pylist() for c in ("shard", "page_id", "url", "payload", "refers_to")), strict=True):
+            for s, page_id, url, payload, digest, refers in zip(*(piece.column(c).to_pylist() for c in ("shard", "page_id", "url", "payload", "digest", "refers_to")), strict=True):
+                if page_id != ahead_of:
+                    ahead, ahead_of = {}, page_id
+                if digest is not None:
+                    ahead[digest] = refers
+                    continue
+                refers = ahead.get(hashlib.sha1(payload).hexdigest()) if ahead else None
                 if out is not None and (s != now["shard"] or now["n_bytes"] >= roll_bytes):
                     close()
                 if out is None:
@@ -155,8 +162,12 @@ def write(pages: DataFrame, where: str, roll_bytes: int = ROLL_BYTES, shard_byte
         if done:
             yield pa.RecordBatch.from_pylist(done, pa.schema([("shard", pa.int32()), ("part", pa.int32()), ("name", pa.string()), ("temporary", pa.string()), ("n_records", pa.int64()), ("n_bytes", pa.int64()), ("sha256", pa.string())]))
 
-    ordered = rows.withColumn("shard", shard.cast("int")).repartition("shard").sortWithinPartitions("shard", "page_id", "url", "digest")
-    manifest = checkpointed(ordered.select("shard", "page_id", "url", "payload", "refers_to").mapInArrow(put, MANIFEST))
+    # Revisits are merged to their pages in the order of the shard, so payloads are shuffled once.
+    marks = revisits(rows).selectExpr("page_id", "cast(null as string) url", "cast(null as binary) payload", "digest", "refers_to")
+    both = rows.selectExpr("page_id", "url", "payload", "cast(null as string) digest", "cast(null as bigint) refers_to").unionByName(marks)
+    dealt = both.withColumn("shard", shard.cast("int")).repartition("shard")
+    ordered = dealt.sortWithinPartitions("shard", "page_id", F.col("digest").asc_nulls_last(), "url", F.xxhash64("payload"))
+    manifest = checkpointed(ordered.select("shard", "page_id", "url", "payload", "digest", "refers_to").mapInArrow(put, MANIFEST))
     commit(where, manifest)
     return manifest
 
