@@ -13,7 +13,6 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -239,17 +238,15 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
         for piece in pieces_of(batches, "html", 4 << 20):
             urls, sources = piece.column("url").to_pylist(), piece.column("html").to_pylist()
             found = [digests(parse(x or "")) for x in sources]
-            n = np.array([len(x) for x in found])
-            hosts = pa.array([host_of(u or "") for u in urls])
-            rep = pa.array(np.repeat(np.arange(len(found)), n))
-            # The row of hash null counts the page itself.
-            yield pa.RecordBatch.from_arrays([piece.column("page_id").take(rep), hosts.take(rep), pa.array([h for x in found for h in x], pa.int64())], names=["page_id", "host", "hash"])
-            yield pa.RecordBatch.from_arrays([piece.column("page_id"), hosts, pa.nulls(len(found), pa.int64())], names=["page_id", "host", "hash"])
-
-    seen = checkpointed(rows.mapInArrow(hashes, "page_id long, host string, hash long"))
-    counts = seen.groupBy("host", "hash").agg(F.count("*").alias("n"))
-    sizes = counts.where("hash is null").select("host", F.col("n").alias("pages"))
-    recurring = counts.where(F.col("hash").isNotNull() & (F.col("n") >= least_pages)).join(sizes, "host").where(F.col("n") >= least_share * F.col("pages")).select("host", "hash")
+            hosts = pa.array([host_of(u or "") for u in urls], pa.string())
+            yield pa.RecordBatch.from_arrays([piece.column("page_id"), hosts, pa.array(found, pa.list_(pa.int64()))], names=["page_id", "host", "hashes"])
+
+    # One row a page: its hashes are a small part of its size.
+    pages_seen = checkpointed(rows.mapInArrow(hashes, "page_id long, host string, hashes array<long>"))
+    seen = pages_seen.select("page_id", "host", F.explode("hashes").alias("hash"))
+    counts = seen.groupBy("host", "hash").agg(F.count("*").alias("n")).where(F.col("n") >= least_pages)
+    sizes = pages_seen.groupBy("host").agg(F.count("*").alias("pages"))
+    recurring = counts.join(sizes, "host").where(F.col("n") >= least_share * F.col("pages")).select("host", "hash")
     own = seen.join(recurring, ["host", "hash"]).groupBy("page_id", "host").agg(F.collect_set("hash").alias("template"))
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^\s*[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
     keyed = rows.withColumn("host", F.regexp_replace(host, r"\.+$", ""))
