@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 # Word lists, marker patterns and front-matter patterns that results depend on.
 BEHAVIOUR_STOPWORDS = """
@@ -167,7 +168,7 @@ def local_repeat(words: Column, window: int = 4) -> Column:
     return F.when(F.size(words) == 0, F.lit(0.0)).otherwise(F.aggregate(seen, F.lit(0), lambda a, x: a + x) / F.size(words))
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(IntegerType())
 def longest_repeat(words):
     """Length of the longest n-gram that stands twice. If one of n words does, one of n - 1 words does, so n is
     found by bisection."""
