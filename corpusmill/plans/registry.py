@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ["texts", "composition", "measures"]
+MODULES = ["texts", "composition", "measures", "register"]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
