@@ -304,7 +304,7 @@ def _finish(key, group, blobs, columns: list[str], text_col: str | None):
     order = np.flatnonzero(repeat)[np.lexsort((th[repeat], did[repeat]))]
     d, t, begin, end = did[order], th[order], begin[order], end[order]
     cut = np.flatnonzero(np.r_[True, (d[1:] != d[:-1]) | (t[1:] != t[:-1])]) if len(d) else np.empty(0, np.int64)
-    own = {(int(d[a]), int(t[a])): (a, b) for a, b in zip(cut.tolist(), np.r_[cut[1:], len(d)].tolist(), strict=True)}
+    own = {(int(d[a]), int(t[a])): (a, b) for a, b in zip(cut.tolist(), np.r_[cut[1:], len(d)][: len(cut)].tolist(), strict=True)}
     spans, kept = [], []
     for doc, text in zip(map(tuple, ids.tolist()), texts, strict=True):
         a, b = own.get(doc, (0, 0))
