@@ -97,10 +97,10 @@ def revisits(rows: DataFrame) -> DataFrame:
 
 
 def shard_of(rows: DataFrame, shard_bytes: int):
-    """A column that deals ids to shards in ranges, by exact sums of payload over ID_BLOCKS blocks of ids."""
+    """A column that deals ids to shards in ranges, by exact sums of payload over ID_BLOCKS blocks of ids, and their number."""
     low, high = rows.agg(F.min("page_id"), F.max("page_id")).first()
     if low is None:
-        return F.lit(0)
+        return F.lit(0), 1
     width = (high - low) // ID_BLOCKS + 1
     block = F.coalesce(F.floor((F.col("page_id") - F.lit(low)) / F.lit(width)).cast("int"), F.lit(0))
     sizes = rows.groupBy(block.alias("block")).agg(F.sum(F.length("payload") + 600).alias("n")).orderBy("block").collect()
@@ -111,7 +111,7 @@ def shard_of(rows: DataFrame, shard_bytes: int):
             held = 0
         held += r["n"]
     bounds = F.array(*[F.lit(x) for x in starts])
-    return F.size(F.filter(bounds, lambda x: x <= block)) - 1
+    return F.size(F.filter(bounds, lambda x: x <= block)) - 1, len(starts)
 
 
 def write(pages: DataFrame, where: str, roll_bytes: int = ROLL_BYTES, shard_bytes: int = SHARD_BYTES, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -123,7 +123,7 @@ def write(pages: DataFrame, where: str, roll_bytes: int = ROLL_BYTES, shard_byte
     """
     page_id, payload = F.col(id_col).cast("long").alias("page_id"), F.encode(F.coalesce(F.col(html_col).cast("string"), F.lit("")), "UTF-8").alias("payload")
     rows = pages.select(page_id, F.coalesce(F.col(url_col).cast("string"), F.lit("")).alias("url"), payload)
-    shard = shard_of(rows, shard_bytes)
+    shard, shards = shard_of(rows, shard_bytes)
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files = Files(where)
@@ -165,7 +165,7 @@ def write(pages: DataFrame, where: str, roll_bytes: int = ROLL_BYTES, shard_byte
     # Revisits are merged to their pages in the order of the shard, so payloads are shuffled once.
     marks = revisits(rows).selectExpr("page_id", "cast(null as string) url", "cast(null as binary) payload", "digest", "refers_to")
     both = rows.selectExpr("page_id", "url", "payload", "cast(null as string) digest", "cast(null as bigint) refers_to").unionByName(marks)
-    dealt = both.withColumn("shard", shard.cast("int")).repartition("shard")
+    dealt = both.withColumn("shard", shard.cast("int")).repartition(2 * shards, "shard")  # as many partitions as the data need, whatever the session's setting
     ordered = dealt.sortWithinPartitions("shard", "page_id", F.col("digest").asc_nulls_last(), "url", F.xxhash64("payload"))
     manifest = checkpointed(ordered.select("shard", "page_id", "url", "payload", "digest", "refers_to").mapInArrow(put, MANIFEST))
     commit(where, manifest)
