@@ -1,7 +1,8 @@
 """Main text of web pages, with removal of the templates of their sites.
 
-Every element subtree outside the prose of an explicit article is hashed. Spark counts on how many pages of a host
-each hash stands; subtrees that recur on many pages of a host are its template and are deleted, besides the
+Every element subtree of a page's main roots outside the prose of an explicit article is hashed. Spark counts in how
+many different contents (main roots) of a host each hash stands, so copies of a page are one; subtrees that recur in
+several are the host's template and are deleted, besides the
 elements that are never main text (menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles,
 reader comments).
 """
@@ -20,8 +21,8 @@ from pyspark.sql import functions as F
 
 from corpusmill.llm.common import checkpointed, pieces_of
 
-#: A subtree is template if it stands on so many pages of its host, and on so large a share of them.
-LEAST_PAGES, LEAST_SHARE = 5, 0.02
+#: A subtree is template if it stands in so many different contents of its host.
+LEAST_PAGES = 5
 
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|$)", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^\s>]+)))?")
@@ -148,9 +149,9 @@ def main_roots(root: Node) -> list[Node]:
     return [root]
 
 
-def digests(root: Node) -> list[int]:
-    """Hash every subtree (tag, names, children in order; white space made one) and return those that may be
-    template: all but articles, what is around them, and the prose within them."""
+def digests(root: Node) -> tuple[int, list[int]]:
+    """Hash every subtree (tag, names, children in order; white space made one); return the hash of the main roots
+    and those of the subtrees in them that may be template: all but excluded ones and the prose of articles."""
     order, todo = [], [root]
     while todo:
         node = todo.pop()
@@ -169,22 +170,18 @@ def digests(root: Node) -> list[int]:
         node.digest = h.intdigest() - (1 << 63)
     mains = main_roots(root)
     explicit = mains[0] is not root
-    # Ancestors of a main root are no candidates: deleting them would delete it.
-    holds = {id(m) for m in mains} if explicit else set()
-    for node in reversed(order):
-        if any(isinstance(c, Node) and id(c) in holds for c in node.children):
-            holds.add(id(node))
     found: set[int] = set()
-    todo = [(root, False)]
+    todo = [c for m in mains for c in m.children if isinstance(c, Node)]
     while todo:
-        node, inside = todo.pop()
-        if not inside and explicit and node in mains:
-            inside = True
-        elif node is not root and node.size and id(node) not in holds and node.tag not in ("html", "body") and not (inside and (node.tag in PROSE or node.tag not in BLOCK)):
+        node = todo.pop()
+        if excluded(node):
+            continue
+        if node.size and node.tag not in ("html", "body") and not (explicit and (node.tag in PROSE or node.tag not in BLOCK)):
             found.add(node.digest)
-        if not (inside and node.tag in PROSE):
-            todo.extend((c, inside) for c in node.children if isinstance(c, Node))
-    return sorted(found)
+        if not (explicit and node.tag in PROSE):
+            todo.extend(c for c in node.children if isinstance(c, Node))
+    content = xxhash.xxh64(b"".join(m.digest.to_bytes(8, "little", signed=True) for m in mains)).intdigest() - (1 << 63)
+    return content, sorted(found)
 
 
 def main_text(root: Node, template: set[int]) -> str:
@@ -224,13 +221,13 @@ def host_of(url: str) -> str:
     return m[1].lower().rstrip(".") if m else ""
 
 
-def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE) -> DataFrame:
+def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_pages: int = LEAST_PAGES) -> DataFrame:
     """Rows (page_id, url, text), one for each input row.
 
     Null and empty html have the empty text; null url and page_id are kept, a url without a host counts as one
     host of its own. Character references are decoded, white space within a block is one space, blocks are joined
-    by a newline. Repeated rows are kept, and count as pages. Rows with one page_id and one host share their
-    template hashes, which are those of content. Other columns are ignored; an empty table gives an empty result.
+    by a newline. Repeated rows are kept; pages of one host and equal main roots count once. A page of which
+    template leaves nothing keeps its text. Rows with one page_id and one host share their template hashes. Other columns are ignored; an empty table gives an empty result.
     """
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
 
@@ -239,14 +236,14 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
             urls, sources = piece.column("url").to_pylist(), piece.column("html").to_pylist()
             found = [digests(parse(x or "")) for x in sources]
             hosts = pa.array([host_of(u or "") for u in urls], pa.string())
-            yield pa.RecordBatch.from_arrays([piece.column("page_id"), hosts, pa.array(found, pa.list_(pa.int64()))], names=["page_id", "host", "hashes"])
+            yield pa.RecordBatch.from_arrays([piece.column("page_id"), hosts, pa.array([c for c, _ in found], pa.int64()), pa.array([x for _, x in found], pa.list_(pa.int64()))], names=["page_id", "host", "content", "hashes"])
 
     # One row a page: its hashes are a small part of its size.
-    pages_seen = checkpointed(rows.mapInArrow(hashes, "page_id long, host string, hashes array<long>"))
+    pages_seen = checkpointed(rows.mapInArrow(hashes, "page_id long, host string, content long, hashes array<long>"))
     seen = pages_seen.select("page_id", "host", F.explode("hashes").alias("hash"))
-    counts = seen.groupBy("host", "hash").agg(F.count("*").alias("n")).where(F.col("n") >= least_pages)
-    sizes = pages_seen.groupBy("host").agg(F.count("*").alias("pages"))
-    recurring = counts.join(sizes, "host").where(F.col("n") >= least_share * F.col("pages")).select("host", "hash")
+    # Equal main roots have equal hashes.
+    votes = pages_seen.dropDuplicates(["host", "content"]).select("host", F.explode("hashes").alias("hash"))
+    recurring = votes.groupBy("host", "hash").agg(F.count("*").alias("n")).where(F.col("n") >= least_pages).select("host", "hash")
     own = seen.join(recurring, ["host", "hash"]).groupBy("page_id", "host").agg(F.collect_set("hash").alias("template"))
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^\s*[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
     keyed = rows.withColumn("host", F.regexp_replace(host, r"\.+$", ""))
@@ -259,7 +256,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
                 root = parse(source or "")
                 if template:
                     digests(root)
-                out.append(main_text(root, set(template or ())))
+                # Copies under changing surroundings: what recurs is the text itself.
+                out.append(main_text(root, set(template or ())) or main_text(root, set()))
             yield pa.RecordBatch.from_arrays([piece.column("page_id"), piece.column("url"), pa.array(out, pa.string())], names=["page_id", "url", "text"])
 
     return joined.mapInArrow(texts, "page_id long, url string, text string")
