@@ -142,7 +142,7 @@ def sentences(c: Column) -> Column:
 
 def proper_nouns(c: Column) -> Column:
     """Distinct capitalised words that do not begin a sentence, sorted."""
-    words = F.flatten(F.transform(sentences(c), lambda s: F.slice(split_words(s), 2, 1 << 20)))
+    words = F.flatten(F.transform(sentences(c), lambda s: F.slice(split_words(s), F.lit(2), F.size(split_words(s)))))
     return F.array_sort(F.array_distinct(F.filter(F.transform(words, lambda w: F.regexp_extract(w, r"^([A-Z][a-z]+)\b", 1)), lambda w: w != "")))
 
 
