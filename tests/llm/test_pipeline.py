@@ -5,7 +5,7 @@ import random
 
 import public_tokenizers
 import pytest
-from test_operators import brute_components, brute_fingerprint, brute_repeats, brute_statistics
+from test_llm_operators import brute_components, brute_fingerprint, brute_repeats, brute_statistics
 from tokenizers import Tokenizer
 
 import corpus_pipeline
