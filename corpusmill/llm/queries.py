@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import bpe, common, decontaminate, hdlang, html, repeats, rules, simhash, tokencounts, warc
+from corpusmill.llm import bpe, common, decontaminate, hdlang, html, repeats, rules, simhash, tokencounts, urlfilter, warc
 
 
 def tokenizer(name: str) -> str:
@@ -27,6 +27,63 @@ def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
 
 
+#: A number from 0 to 4095 by the host's name, in terms that Spark and SQL share.
+NUMBER = " + ".join(f"(instr('0123456789abcdef', substr(md5(host), {k}, 1)) - 1) * {16 ** (3 - k)}" for k in (1, 2, 3))
+#: The list's log: pattern, verdict, day since 2024-01-01, action, and which hosts or domains have the entry.
+ENTRIES = [
+    ("host", "block", "x % 300", "add", "whole AND x % 4 <> 0"),
+    ("host", "block", "x % 300 + 20 + x % 50", "remove", "whole AND x % 4 <> 0"),
+    ("host", "block", "x % 300 + 100", "add", "whole AND x % 12 IN (3, 6, 9)"),
+    ("host", "block", "x % 300 + 5", "add", "whole AND x % 5 = 0"),
+    ("concat(host, '/en/')", "allow", "x % 200", "add", "whole AND x % 2 = 0"),
+    ("concat(host, '/de/')", "block", "x % 200", "add", "whole AND x % 7 = 0"),
+    ("concat(host, '/de/')", "block", "x % 200", "remove", "whole AND x % 7 = 0"),
+    ("host", "block", "x % 300", "add", "NOT whole"),
+    ("host", "block", "x % 300 + 15", "remove", "NOT whole"),
+]
+
+
+def url_list(pages: DataFrame) -> DataFrame:
+    """The dated list of the query: entries for every host of the pages and for its last two labels."""
+    hosts = pages.select(urlfilter.host_of(F.col("url")).alias("host")).where("host <> ''").distinct()
+    domains = hosts.select(F.substring_index("host", ".", -2).alias("host"), F.lit(False).alias("whole")).distinct()
+    numbered = hosts.withColumn("whole", F.lit(True)).unionByName(domains).withColumn("x", F.expr(NUMBER))
+    rows = ", ".join(f"named_struct('pattern', {p}, 'verdict', '{v}', 'day', date_add(DATE'2024-01-01', {d}), 'action', '{a}', 'has', {c})" for p, v, d, a, c in ENTRIES)
+    return numbered.selectExpr(f"inline(array({rows}))").where("has").drop("has")
+
+
+def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page against the list of its hosts; pages have no date, so that of a page follows from its id."""
+    pages = common.table(spark, sf_dir, "pages").select("page_id", "url")
+    captures = pages.withColumn("fetched_on", F.expr("date_add(DATE'2024-01-01', cast(pmod(page_id * 37, 366) as int))"))
+    return urlfilter.judged(captures, url_list(pages))
+
+
+OP3_SQL = rf"""
+WITH u AS (
+  SELECT page_id, url, CAST(DATE '2024-01-01' + CAST(((page_id * 37) % 366 + 366) % 366 AS INTEGER) AS DATE) AS fetched_on,
+    regexp_replace(lower(regexp_extract(coalesce(url, ''), '{urlfilter.HOST}', 1)), '\.+$', '') AS host, regexp_extract(coalesce(url, ''), '{urlfilter.PATH}', 1) AS path
+  FROM pages
+), hosts AS (SELECT DISTINCT host FROM u WHERE host <> ''),
+named AS (SELECT host, true AS whole FROM hosts UNION ALL SELECT DISTINCT array_to_string(string_split(host, '.')[-2:], '.'), false FROM hosts),
+numbered AS (SELECT *, {NUMBER} AS x FROM named),
+log AS ({" UNION ALL ".join(f"SELECT {p} AS pattern, '{v}' AS verdict, CAST({d} AS INTEGER) AS day, '{a}' = 'add' AS listed FROM numbered WHERE {c}" for p, v, d, a, c in ENTRIES)}),
+states AS (SELECT pattern, verdict, day, bool_or(listed) AS listed FROM log GROUP BY ALL),
+changes AS (SELECT * FROM (SELECT *, coalesce(lag(listed) OVER (PARTITION BY pattern, verdict ORDER BY day), false) AS earlier FROM states) WHERE listed <> earlier),
+spans AS (SELECT pattern, verdict, CAST(DATE '2024-01-01' + day AS DATE) AS valid_from, CAST(DATE '2024-01-01' + until AS DATE) AS valid_to
+  FROM (SELECT *, lead(day) OVER (PARTITION BY pattern, verdict ORDER BY day) AS until FROM changes) WHERE listed),
+tried AS (
+  SELECT page_id, url, fetched_on, s.* FROM (SELECT *, CASE WHEN path = '' THEN '/' ELSE path END AS p FROM u) c
+  JOIN spans s ON valid_from <= fetched_on AND (valid_to IS NULL OR fetched_on < valid_to) AND host <> ''
+    AND CASE WHEN contains(pattern, '/') THEN host || p = pattern OR suffix(pattern, '/') AND prefix(host || p, pattern) ELSE host = pattern OR suffix(host, '.' || pattern) END
+), best AS (
+  SELECT page_id, count(*) AS n, arg_max(struct_pack(v := verdict, p := pattern, f := valid_from), (contains(pattern, '/'), len(pattern), verdict = 'allow', verdict)) AS b FROM tried GROUP BY page_id
+)
+SELECT u.page_id, u.url, fetched_on, CASE WHEN fetched_on IS NOT NULL THEN coalesce(b.v, 'allow') END AS verdict, b.p AS pattern, b.f AS valid_from, coalesce(n, 0) AS n_active
+FROM u LEFT JOIN best USING (page_id)
+"""
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     learned = rules.learn(docs, common.table(spark, sf_dir, "labels"))
@@ -120,6 +177,7 @@ FROM split s LEFT JOIN hit h USING (doc_id) LEFT JOIN named m USING (doc_id) WHE
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_html_extraction": op2_html_extraction,
+    "op3_url_filters": op3_url_filters,
     "op4_quality_rules": op4_quality_rules,
     "op5_warc": op5_warc,
     "op6_token_counts": op6_token_counts,
@@ -128,4 +186,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_simhash": op9_simhash,
     "op10_decontamination": op10_decontamination,
 }
-ORACLE: dict[str, str] = {"op5_warc": OP5_SQL, "op8_suffix_dedup": OP8_SQL, "op10_decontamination": OP10_SQL}
+ORACLE: dict[str, str] = {"op3_url_filters": OP3_SQL, "op5_warc": OP5_SQL, "op8_suffix_dedup": OP8_SQL, "op10_decontamination": OP10_SQL}
