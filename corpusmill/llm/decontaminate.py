@@ -1,23 +1,33 @@
-"""Benchmark decontamination: an FM-index per shard of training text, searched for every window of every item."""
+"""Benchmark decontamination: an FM-index per shard of training text, searched for every window of every item.
+
+A shard is a few megabytes of a task's documents. All its words are symbols of its index, whatever the benchmark; the
+phrases come from files in the shared folder, one bounded block after the other, so a shard is indexed once however
+large the benchmark is, and neither the driver nor a task holds more than a block of it.
+"""
 
 from __future__ import annotations
 
+import pickle
+import posixpath
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import checkpointed, pieces_of, utf8_values
+from corpusmill.llm.common import checkpointed, pieces_of, shared_dir, utf8_values
 from corpusmill.llm.fmindex import FmIndex
 
 #: A-Z to a-z; digits, a-z and every byte of a non-ASCII character stay; the rest is a break.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
-#: Items whose text fits in so many bytes are searched together; more items are taken in blocks of that size.
-BLOCK_BYTES = 32 << 20
-SHARD_BYTES = 4 << 20
+#: Text of the items in one block of phrases.
+BLOCK_BYTES = 4 << 20
+#: Text that a task takes at once, and words of an index; a longer text is indexed in stretches.
+SHARD_BYTES, SHARD_WORDS = 4 << 20, 1 << 20
 #: Occurrences located at once within a task.
 ROWS_AT_ONCE = 1 << 18
 
@@ -54,41 +64,134 @@ def phrases(rows: list[tuple[object, str | None]], window: int) -> Phrases:
     return Phrases(symbols, patterns, lengths, [tuple(owners[k]) for k in keys], ids)
 
 
-def search_shard(texts: list[bytes], asked: Phrases) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[list[bytes]]]:
-    """Occurrences (document, first word, length, pattern) in a shard of texts, and the words of each text.
+def phrase_files(benchmark: DataFrame, window: int, item_col: str, text_col: str, block_bytes: int) -> list[str]:
+    """Write the items' phrases in blocks to the shared folder; returns the files, one for each block of text."""
+    where = posixpath.join(shared_dir(benchmark.sparkSession), f"phrases-{uuid.uuid4().hex}")
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = pafs.FileSystem.from_uri(where)
+        fs.create_dir(root, recursive=True)
+        held: list[tuple] = []
+        size = 0
+
+        def file() -> pa.RecordBatch:
+            name = f"{uuid.uuid4().hex}.pickle"
+            with fs.open_output_stream(posixpath.join(root, name), compression=None) as f:
+                pickle.dump(phrases(held, window), f, protocol=5)
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array([posixpath.join(where, name)])], names=["name"])
+
+        for batch in batches:
+            for item, text in zip(batch.column("item").to_pylist(), utf8_values(batch.column("text")), strict=True):
+                for part in stretches_of(text, window, block_bytes):
+                    if held and size + len(part) > block_bytes:
+                        yield file()
+                        size = 0
+                    held.append((item, part.decode("utf-8", "replace")))
+                    size += len(part)
+        if held:
+            yield file()
 
-    Words of no phrase are separators to the index; stretches between them too short for any phrase stay out.
+    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).cast("string").alias("text")).distinct()
+    total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
+    # Files of other attempts of a task are not in the table and are not read.
+    dealt = items.coalesce(max(1, -(-total // block_bytes)))
+    return sorted(r["name"] for r in checkpointed(dealt.mapInArrow(put, "name string")).collect())
+
+
+def stretches_of(text: bytes, window: int, most: int) -> Iterator[bytes]:
+    """The text, or if it is longer than ``most`` stretches of it of which each window of words is in one."""
+    if len(text) <= most:
+        yield text
+        return
+    words = words_of(text)
+    step = max(1, most // 8)
+    for at in range(0, max(1, len(words) - window + 1), step):
+        yield b" ".join(words[at : at + step + window - 1])
+
+
+_last: list = [None, None]
+
+
+def block_of(name: str) -> Phrases:
+    """A block of phrases; the last one read stays with the worker."""
+    if _last[0] != name:
+        fs, path = pafs.FileSystem.from_uri(name)
+        with fs.open_input_stream(path, compression=None) as f:
+            _last[:] = [name, pickle.loads(f.read())]  # noqa: S301 - written by phrase_files()
+    return _last[1]
+
+
+class Shard:
+    """The index of some texts, given as (document, place of the first word, words)."""
+
+    def __init__(self, parts: list[tuple[int, int, list[bytes]]]):
+        sizes = np.array([len(w) + 1 for _, _, w in parts], np.int64)
+        self.starts = np.cumsum(sizes) - sizes
+        self.document, self.offset = (np.array([p[k] for p in parts], np.int64) for k in (0, 1))
+        self.symbols: dict[bytes, int] = {}
+        line = np.zeros(int(sizes.sum()), np.int32)
+        number = self.symbols.setdefault
+        for at, (_, _, words) in zip(self.starts.tolist(), parts, strict=True):
+            line[at : at + len(words)] = [number(w, len(self.symbols) + 1) for w in words]
+        self.index = FmIndex(line, len(self.symbols))
+
+    def occurrences(self, asked: Phrases) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(document, first word, pattern) wherever a pattern stands."""
+        own = np.array([0, *(self.symbols.get(w, 0) for w in asked.symbols)], np.int32)[asked.patterns]
+        used = np.arange(asked.patterns.shape[1]) < asked.lengths[:, None]
+        possible = np.flatnonzero(((own != 0) | ~used).all(axis=1))  # a word that the shard lacks stands nowhere
+        lo, hi = self.index.ranges(own[possible], asked.lengths[possible])
+        found = np.flatnonzero(hi > lo)
+        n = (hi - lo)[found]
+        rows = np.repeat(lo[found] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        spots = [self.index.locate(rows[k : k + ROWS_AT_ONCE]) for k in range(0, len(rows), ROWS_AT_ONCE)]
+        place = np.concatenate([np.empty(0, np.int64), *spots])
+        part = np.searchsorted(self.starts, place, side="right") - 1
+        return self.document[part], place - self.starts[part] + self.offset[part], np.repeat(possible[found], n)
+
+
+def shards_of(lines: list[list[bytes]], window: int) -> Iterator[Shard]:
+    """Indexes over all texts; a text of more than SHARD_WORDS words is in several, each window in one at least."""
+    held: list[tuple[int, int, list[bytes]]] = []
+    size = 0
+    for k, words in enumerate(lines):
+        for at in range(0, max(0, len(words) - window) + 1 if words else 0, SHARD_WORDS):
+            part = words[at : at + SHARD_WORDS + window - 1] if len(words) > SHARD_WORDS else words
+            if held and size + len(part) > SHARD_WORDS:
+                yield Shard(held)
+                held, size = [], 0
+            held.append((k, at, part))
+            size += len(part)
+            if len(words) <= SHARD_WORDS:
+                break
+    if held:
+        yield Shard(held)
+
+
+def searched(texts: list[bytes], files: list[str], window: int) -> tuple[list[int], list[list[tuple[int, int]]], list[list[str]]]:
+    """Of each text the number of words, merged spans of words in an occurrence, and ids of the items found, sorted.
+
+    Equal texts are indexed once.
     """
-    shortest = int(asked.lengths.min(initial=1 << 30))
-    get = asked.symbols.get
-    lines = [words_of(t) for t in texts]
-    counts = np.array([len(x) for x in lines], np.int64)
-    symbols = np.zeros(int(counts.sum()) + len(lines), np.int32)
-    starts = np.cumsum(counts + 1) - (counts + 1)
-    for at, line in zip(starts.tolist(), lines, strict=True):
-        symbols[at : at + len(line)] = [get(w, 0) for w in line]
-    known = symbols != 0
-    edges = np.flatnonzero(np.diff(np.r_[False, known, False].astype(np.int8)))
-    begin, end = edges[::2], edges[1::2]
-    long_enough = end - begin >= shortest
-    begin, end = begin[long_enough], end[long_enough]
-    empty = np.empty(0, np.int64)
-    if not len(begin):
-        return empty, empty, empty, empty, lines
-    size = end - begin + 1
-    offset = np.cumsum(size) - size
-    compact = np.arange(int(size.sum())) - np.repeat(offset, size)
-    source = np.repeat(begin, size) + compact  # the place after a stretch is its separator
-    index = FmIndex(np.where(np.repeat(end, size) == source, 0, symbols[np.minimum(source, len(symbols) - 1)]), len(asked.symbols))
-    lo, hi = index.ranges(asked.patterns, asked.lengths)
-    found = np.flatnonzero(hi > lo)
-    n = (hi - lo)[found]
-    rows = np.repeat(lo[found] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-    pattern = np.repeat(found, n)
-    spots = [index.locate(rows[k : k + ROWS_AT_ONCE]) for k in range(0, len(rows), ROWS_AT_ONCE)]
-    place = source[np.concatenate(spots)] if spots else empty
-    doc = np.searchsorted(starts, place, side="right") - 1
-    return doc, place - starts[doc], asked.lengths[pattern], pattern, lines
+    place: dict[bytes, int] = {}
+    which = [place.setdefault(t, len(place)) for t in texts]
+    lines = [words_of(t) for t in place]
+    begins: list[list[np.ndarray]] = [[] for _ in lines]
+    items: list[set] = [set() for _ in lines]
+    for shard in shards_of(lines, window) if files else ():
+        for name in files:
+            asked = block_of(name)
+            doc, begin, pattern = shard.occurrences(asked)
+            order = np.argsort(doc, kind="stable")
+            doc, begin, pattern = doc[order], begin[order], pattern[order]
+            cuts = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]]) if len(doc) else np.empty(0, np.int64)
+            for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(doc)], strict=False):
+                begins[doc[a]].append(np.stack([begin[a:b], begin[a:b] + asked.lengths[pattern[a:b]]]))
+                items[doc[a]].update(asked.items[i] for p in np.unique(pattern[a:b]).tolist() for i in asked.owners[p])
+    spans = [merged(*np.concatenate(x, axis=1)) if x else [] for x in begins]
+    named = [sorted(x - {None}) for x in items]
+    return [len(lines[k]) for k in which], [spans[k] for k in which], [named[k] for k in which]
 
 
 def merged(begin: np.ndarray, end: np.ndarray) -> list[tuple[int, int]]:
@@ -101,7 +204,7 @@ def merged(begin: np.ndarray, end: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(begin[fresh].tolist(), reach[np.r_[fresh[1:] - 1, len(begin) - 1]].tolist(), strict=True))
 
 
-SPANS = "row_key long, doc_id long, n_words long, spans array<struct<begin:int,end:int>>, items array<string>"
+SPANS = "doc_id long, n_words long, spans array<struct<begin:int,end:int>>, items array<string>"
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -113,66 +216,19 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col: str =
     Words: runs of a-z, 0-9 and non-ASCII characters after lower-casing A-Z. Null and empty texts have no words
     and no hits; repeated rows are kept; equal windows of several items count for each; other columns are
     ignored; empty tables give no rows or no hits. The benchmark is taken in blocks of at most ``block_bytes``
-    of text, each searched against all documents.
+    of text; a longer item is cut into stretches that share window - 1 words. Nothing of the documents is shuffled.
     """
-    rows = docs.select(F.monotonically_increasing_id().alias("row_key"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    found = [_against(rows, p) for p in _blocks(benchmark, window, item_col, item_text_col, block_bytes)]
-    if len(found) == 1:
-        return found[0].drop("row_key")
-    # Several blocks: their spans and items are put together again for each row.
-    whole = found[0]
-    for more in found[1:]:
-        whole = whole.unionByName(more)
-
-    def put_together(spans):
-        ordered = F.array_sort(F.flatten(F.collect_list(spans)))
-        none = F.lit(None).cast("array<struct<begin:int,end:int>>")
-        return F.aggregate(
-            ordered, F.coalesce(none, F.array().cast("array<struct<begin:int,end:int>>")),
-            lambda acc, x: F.when(
-                (F.size(acc) > 0) & (F.get(acc, F.size(acc) - 1)["end"] >= x["begin"]),
-                F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(F.get(acc, F.size(acc) - 1)["begin"].alias("begin"), F.greatest(F.get(acc, F.size(acc) - 1)["end"], x["end"]).alias("end")))),
-            ).otherwise(F.concat(acc, F.array(x))),
-        )
-
-    return whole.groupBy("row_key").agg(
-        F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), put_together(F.col("spans")).alias("spans"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-    ).drop("row_key")
-
-
-def _blocks(benchmark: DataFrame, window: int, item_col: str, text_col: str, block_bytes: int) -> list[Phrases]:
-    """The items in blocks of bounded text. Only one block's rows are on the driver at a time while it is read."""
-    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).cast("string").alias("text")).distinct()
-    total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
-    n = max(1, -(-2 * total // block_bytes))
-    if n == 1:
-        return [phrases([(r["item"], r["text"]) for r in items.collect()], window)]
-    dealt = checkpointed(items.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(n))))
-    return [phrases([(r["item"], r["text"]) for r in dealt.where(F.col("block") == k).collect()], window) for k in range(n)]
-
-
-def _against(rows: DataFrame, asked: Phrases) -> DataFrame:
-    shared = rows.sparkSession.sparkContext.broadcast(asked)
+    files = phrase_files(benchmark, window, item_col, item_text_col, block_bytes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        asked = shared.value
         for piece in pieces_of(batches, "text", SHARD_BYTES):
-            doc, begin, length, pattern, lines = search_shard(utf8_values(piece.column("text")), asked)
-            order = np.argsort(doc, kind="stable")
-            cut = np.searchsorted(doc[order], np.arange(len(lines) + 1))
-            spans, items = [], []
-            for k in range(len(lines)):
-                own = order[cut[k] : cut[k + 1]]
-                spans.append([{"begin": a, "end": b} for a, b in merged(begin[own], begin[own] + length[own])])
-                ids = {asked.items[i] for p in np.unique(pattern[own]).tolist() for i in asked.owners[p]}
-                items.append(sorted(x for x in ids if x is not None))
+            counts, spans, items = searched(utf8_values(piece.column("text")), files, window)
             yield pa.RecordBatch.from_arrays([
-                piece.column("row_key"), piece.column("doc_id"), pa.array([len(x) for x in lines], pa.int64()),
-                pa.array(spans, pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))), pa.array(items, pa.list_(pa.string())),
-            ], names=["row_key", "doc_id", "n_words", "spans", "items"])
+                piece.column("doc_id"), pa.array(counts, pa.int64()),
+                pa.array([[{"begin": a, "end": b} for a, b in own] for own in spans], pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))), pa.array(items, pa.list_(pa.string())),
+            ], names=["doc_id", "n_words", "spans", "items"])
 
-    return rows.mapInArrow(run, SPANS)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, SPANS)
 
 
 def report(found: DataFrame) -> DataFrame:
@@ -200,43 +256,19 @@ def remove_words(text: str, spans: list[tuple[int, int]]) -> str:
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The documents with all their columns, the words of removal spans cut out of ``text_col``.
+    """The documents with all their columns, the words of removal spans cut out of ``text_col`` as hits() finds them.
 
-    Documents without a hit keep their text as it is, null included. Every block of items is searched in the
-    text as it came; the words go after the last block. Nothing is shuffled.
+    Documents without a hit keep their text as it is, null and empty included; repeated rows stay repeated; an empty
+    table gives an empty result and an empty benchmark leaves all texts alone. No column of another name is used.
     """
-    schema = docs.schema
-    blocks = _blocks(benchmark, window, item_col, item_text_col, block_bytes)
-    marks = next(f"spans_{k}" for k in range(len(docs.columns) + 1) if f"spans_{k}" not in docs.columns)
-    if len(blocks) > 1:
-        docs = docs.withColumn(marks, F.array().cast("array<int>"))
-    for asked in blocks[:-1]:
-        docs = _marked(docs, asked, text_col, marks, docs.schema)
-    return _marked(docs, blocks[-1], text_col, marks if len(blocks) > 1 else None, schema, cut=True)
-
-
-def _marked(docs: DataFrame, asked: Phrases, text_col: str, marks: str | None, schema, cut: bool = False) -> DataFrame:
-    """Found spans go to the column ``marks`` (begins and ends in turn), or with ``cut`` all spans out of the text."""
-    shared = docs.sparkSession.sparkContext.broadcast(asked)
+    files = phrase_files(benchmark, window, item_col, item_text_col, block_bytes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces_of(batches, text_col, SHARD_BYTES):
             texts = piece.column(text_col).to_pylist()
-            spans = [np.array(x, np.int64).reshape(-1, 2) for x in piece.column(marks).to_pylist()] if marks else [np.empty((0, 2), np.int64)] * len(texts)
-            doc, begin, length, _, _ = search_shard([(x or "").encode() for x in texts], shared.value)
-            order = np.argsort(doc, kind="stable")
-            ends = np.searchsorted(doc[order], np.arange(len(texts) + 1))
-            for k in range(len(texts)):
-                own = order[ends[k] : ends[k + 1]]
-                spans[k] = merged(np.r_[spans[k][:, 0], begin[own]], np.r_[spans[k][:, 1], begin[own] + length[own]]) if len(own) or len(spans[k]) else []
-                if cut and spans[k]:
-                    texts[k] = remove_words(texts[k], spans[k])
-            if cut:
-                at = piece.schema.get_field_index(text_col)
-                piece = piece.set_column(at, piece.schema.field(at), pa.array(texts, piece.schema.field(at).type))
-                yield piece.drop_columns([marks]) if marks else piece
-            else:
-                at = piece.schema.get_field_index(marks)
-                yield piece.set_column(at, piece.schema.field(at), pa.array([[x for s in own for x in s] for own in spans], piece.schema.field(at).type))
-
-    return docs.mapInArrow(run, schema)
+            _, spans, _ = searched([(x or "").encode() for x in texts], files, window)
+            at = piece.schema.get_field_index(text_col)
+            cut = [remove_words(t, own) if own else t for t, own in zip(texts, spans, strict=True)]
+            yield piece.set_column(at, piece.schema.field(at), pa.array(cut, piece.schema.field(at).type))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -275,6 +275,20 @@ def test_cut_out_words_and_empty_tables(spark, docs):
     assert decontaminate.hits(docs([]), bench).count() == 0
 
 
+def test_long_texts_and_items_are_cut_without_losing_a_window(docs, spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "SHARD_WORDS", 37)
+    rnd = random.Random(9)
+    line = lambda n: " ".join(rnd.choice("abcdef") for _ in range(n))
+    rows = [(k, line(rnd.choice([0, 3, 36, 37, 38, 45, 400]))) for k in range(40)]
+    rows += rows[:3]
+    items = [(1, line(300)), (2, rows[5][1]), (3, "a b c"), (4, None)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    files = decontaminate.phrase_files(bench, 6, "item_id", "text", 64)
+    counts, spans, named = decontaminate.searched([t.encode() for _, t in rows], files, 6)
+    got = Counter((i, n, sum(b - a for a, b in s), len(x), hashlib.sha256(",".join(x).encode()).hexdigest(), bool(s)) for (i, _), n, s, x in zip(rows, counts, spans, named, strict=True))
+    assert len(files) > 5 and got == brute_hits(rows, items, 6)
+
+
 # ---------------------------------------------------------------- 4: quality rules
 
 
