@@ -11,8 +11,10 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import pyarrow as pa
 import xxhash
@@ -23,9 +25,14 @@ from corpusmill.llm.common import checkpointed, pieces_of
 
 #: A subtree is template if it stands in so many different contents of its host.
 LEAST_PAGES = 5
-
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|$)", re.S)
-ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^\s>]+)))?")
+#: Rows of template hashes, and hashes of pages that hold any, that are broadcast at most; more go by a shuffle.
+BROADCAST_ROWS = 1 << 20
+SALTS = 16
+
+#: A quote opens a value only after an equals sign, as browsers read it; elsewhere it is a part of a name.
+VALUE = r"=\s*+(?:\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z)|[^\s\"'>][^\s>]*+|)"
+TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]|{VALUE})*+)(?:>|\Z)", re.S)
+ATTRIBUTE = re.compile(r"([^\s=/>]+)(?:\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^\s>]+)))?")
 SPACE = re.compile(r"\s+")
 
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -33,16 +40,17 @@ RAW = {"script", "style", "textarea", "title", "xmp", "iframe", "noembed", "nofr
 BLOCK = {"address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "head", "header", "hgroup", "hr", "html", "legend", "li", "main", "menu", "nav", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul"}
 NEVER = {"head", "nav", "header", "footer", "aside", "form", "script", "style", "noscript", "template", "iframe", "object", "embed", "button", "select", "option", "textarea", "input", "label", "dialog", "menu", "svg", "canvas", "audio", "video", "map", "title", "xmp", "noembed", "noframes"}
 NEVER_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "menu", "menubar", "dialog", "alert", "alertdialog", "status", "tablist", "toolbar"}
-#: A class or id that is, or has as a part between - and _, one of these names something else than main text.
+#: A class or id made of these words, and of words of LAYOUT, between - and _ names something else than main text.
 NEVER_NAMES = {"ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "consent", "cookie", "cookies", "disqus", "footer", "gdpr", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "pagination", "pager", "popup", "promo", "promoted", "promotion", "related", "reply", "replies", "respond", "share", "sharing", "sidebar", "signup", "social", "sponsor", "sponsored", "subscribe", "toolbar", "widget"}
-MAIN = {"article", "main"}
+LAYOUT = {"area", "bar", "block", "body", "bottom", "box", "button", "buttons", "container", "content", "form", "global", "group", "header", "inner", "item", "items", "left", "link", "links", "list", "main", "outer", "page", "panel", "post", "posts", "primary", "right", "secondary", "section", "site", "slot", "small", "top", "unit", "wrap", "wrapper"}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 PROSE = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "ul", "ol", "dl", "table", "figure", "li"}
 #: An opening tag of the key ends an open element of the value, up to the nearest element of CLOSE_STOP.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 CLOSE_STOP = {"ul", "ol", "dl", "table", "select", "menu", "body", "html"}
 
 
-@dataclass
+@dataclass(eq=False)
 class Node:
     tag: str
     names: tuple[str, ...] = ()
@@ -53,22 +61,79 @@ class Node:
     size: int = 0
 
 
+class Open:
+    """The open elements. What an end tag or an implied end looks for is counted, so that a search that finds nothing
+    costs nothing, and one that finds something closes all it has passed."""
+
+    def __init__(self, root: Node):
+        self.nodes = [root]
+        self.by_name: Counter = Counter()
+        self.blocks, self.inline = [0], [Counter()]  # places of open blocks, inline elements since each
+        self.items = [Counter()]  # list items and cells since the last list or table
+
+    def push(self, node: Node) -> None:
+        self.by_name[node.tag] += 1
+        if node.tag in BLOCK:
+            self.blocks.append(len(self.nodes))
+            self.inline.append(Counter())
+        else:
+            self.inline[-1][node.tag] += 1
+        if node.tag in CLOSE_STOP:
+            self.items.append(Counter())
+        elif node.tag in ENDS:
+            self.items[-1][node.tag] += 1
+        self.nodes.append(node)
+
+    def cut(self, k: int) -> None:
+        while len(self.nodes) > k:
+            tag = self.nodes.pop().tag
+            self.by_name[tag] -= 1
+            if tag in CLOSE_STOP:
+                self.items.pop()
+            elif tag in ENDS:
+                self.items[-1][tag] -= 1
+            if tag in BLOCK:
+                self.blocks.pop()
+                self.inline.pop()
+            else:
+                self.inline[-1][tag] -= 1
+
+    def last(self, tags: set[str]) -> int:
+        k = len(self.nodes) - 1
+        while self.nodes[k].tag not in tags:
+            k -= 1
+        return k
+
+    def end(self, tag: str) -> None:
+        """An end tag; that of an inline element does not close a block around it."""
+        if (self.by_name if tag in BLOCK else self.inline[-1])[tag]:
+            self.cut(self.last({tag}))
+
+    def make_room(self, tag: str) -> None:
+        """Ends that the start of ``tag`` implies."""
+        if tag in BLOCK and self.nodes[self.blocks[-1]].tag == "p":
+            self.cut(self.blocks[-1])
+        if tag in ENDS:
+            while any(self.items[-1][t] for t in ENDS[tag]):
+                self.cut(self.last(ENDS[tag]))
+
+
 def parse(source: str) -> Node:
     """A tree of the page; unclosed and misnested tags are repaired as browsers do in the common cases."""
     root = Node("#root")
-    stack = [root]
+    opened = Open(root)
     at = 0
     while at < len(source):
         mark = source.find("<", at)
         if mark < 0:
             mark = len(source)
         if mark > at:
-            stack[-1].children.append(entities.unescape(source[at:mark]))
+            opened.nodes[-1].children.append(entities.unescape(source[at:mark]))
         if mark == len(source):
             break
         m = TOKEN.match(source, mark)
         if m is None:
-            stack[-1].children.append("<")
+            opened.nodes[-1].children.append("<")
             at = mark + 1
             continue
         at = m.end()
@@ -76,22 +141,17 @@ def parse(source: str) -> Node:
             continue
         tag = m[2].lower()
         if m[1]:
-            _close(stack, tag)
+            opened.end(tag)
             continue
-        if tag in BLOCK and tag != "p":
-            _end(stack, {"p"}, BLOCK - {"p"})
-        elif tag == "p":
-            _end(stack, {"p"}, BLOCK - {"p"})
-        if tag in ENDS:
-            _end(stack, ENDS[tag], CLOSE_STOP)
+        opened.make_room(tag)
         node = _node(tag, m[3] or "")
-        stack[-1].children.append(node)
+        opened.nodes[-1].children.append(node)
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>|$", re.I).search(source, at)
+            end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>|\Z", re.I).search(source, at)
             node.children.append(source[at : end.start()])
             at = end.end()
-        elif tag not in VOID and not (m[3] or "").endswith("/"):
-            stack.append(node)
+        elif tag not in VOID:
+            opened.push(node)
     return root
 
 
@@ -109,46 +169,45 @@ def _node(tag: str, rest: str) -> Node:
     return Node(tag, names, role, hidden)
 
 
-def _end(stack: list[Node], tags: set[str], stops: set[str]) -> None:
-    for k in range(len(stack) - 1, 0, -1):
-        if stack[k].tag in tags:
-            del stack[k:]
-            return
-        if stack[k].tag in stops:
-            return
-
-
-def _close(stack: list[Node], tag: str) -> None:
-    # An inline end tag does not close a block around its element.
-    for k in range(len(stack) - 1, 0, -1):
-        if stack[k].tag == tag:
-            del stack[k:]
-            return
-        if tag not in BLOCK and stack[k].tag in BLOCK:
-            return
+def excluded(node: Node) -> bool:
+    return node.tag in NEVER or node.role in NEVER_ROLES or node.hidden or any(map(other_than_text, node.names))
 
 
-def excluded(node: Node) -> bool:
-    if node.tag in NEVER or node.role in NEVER_ROLES or node.hidden:
-        return True
-    return any(n in NEVER_NAMES or not NEVER_NAMES.isdisjoint(re.split(r"[-_]+", n)) for n in node.names)
+@lru_cache(1 << 14)
+def other_than_text(name: str) -> bool:
+    parts = [x for x in re.split(r"[-_]+", name) if x and not x.isdigit()]
+    return not NEVER_NAMES.isdisjoint(parts) and all(x in NEVER_NAMES or x in LAYOUT for x in parts)
 
 
 def main_roots(root: Node) -> list[Node]:
-    """The outermost articles (else main elements, else the page) that are not in an excluded element."""
+    """The outermost articles (else main elements, else the page) that neither are nor lie in an excluded element."""
     for wanted in ("article", "main"):
         found, todo = [], [root]
         while todo:
             node = todo.pop()
+            if excluded(node):
+                continue
             if node.tag == wanted:
                 found.append(node)
-            elif not excluded(node):
+            else:
                 todo.extend(c for c in reversed(node.children) if isinstance(c, Node))
         if found:
             return found
     return [root]
 
 
+def headings(node: Node) -> list[Node]:
+    """The headings below a node, in page order."""
+    found, todo = [], [node]
+    while todo:
+        x = todo.pop()
+        if x.tag in HEADINGS:
+            found.append(x)
+        elif x is node or not excluded(x):
+            todo.extend(c for c in reversed(x.children) if isinstance(c, Node))
+    return found
+
+
 def digests(root: Node) -> tuple[int, list[int]]:
     """Hash every subtree (tag, names, children in order; white space made one); return the hash of the main roots
     and those of the subtrees in them that may be template: all but excluded ones and the prose of articles."""
@@ -206,6 +265,8 @@ def main_text(root: Node, template: set[int]) -> str:
                 held.append(item)
             elif item.tag == "br":
                 held.append(" ")
+            elif item.tag == "header" and explicit and not (item.hidden or item.role in NEVER_ROLES or any(map(other_than_text, item.names))):
+                todo.extend((h, prose) for h in reversed(headings(item)))  # an article's own header holds its title
             elif item is main or not (excluded(item) or item.digest in template and not prose and not (explicit and (item.tag in PROSE or item.tag not in BLOCK))):
                 block = item.tag in BLOCK
                 if block:
@@ -244,10 +305,19 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     # Equal main roots have equal hashes.
     votes = pages_seen.dropDuplicates(["host", "content"]).select("host", F.explode("hashes").alias("hash"))
     recurring = votes.groupBy("host", "hash").agg(F.count("*").alias("n")).where(F.col("n") >= least_pages).select("host", "hash")
-    own = seen.join(recurring, ["host", "hash"]).groupBy("page_id", "host").agg(F.collect_set("hash").alias("template"))
+    recurring = checkpointed(recurring)
+    keyed = seen.withColumn("salt", F.pmod(F.xxhash64("page_id", "hash"), F.lit(SALTS)))
+    if recurring.count() <= BROADCAST_ROWS:
+        held = keyed.join(F.broadcast(recurring), ["host", "hash"])
+    else:  # a template of a large host is split over tasks
+        held = keyed.join(recurring.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt")), ["host", "hash", "salt"])
+    own = checkpointed(held.groupBy("page_id", "host").agg(F.collect_set("hash").alias("template")))
+    size = own.agg(F.coalesce(F.sum(F.size("template") + 8), F.lit(0)).alias("n")).first()["n"]
+    own = F.broadcast(own) if size <= BROADCAST_ROWS else own
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^\s*[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
-    keyed = rows.withColumn("host", F.regexp_replace(host, r"\.+$", ""))
-    joined = keyed.join(own, keyed["page_id"].eqNullSafe(own["page_id"]) & (keyed["host"] == own["host"]), "left").select(keyed["page_id"], "url", "html", "template")
+    placed = rows.withColumn("host", F.regexp_replace(host, r"\.+$", "")).alias("r")
+    same = F.col("r.page_id").eqNullSafe(F.col("o.page_id")) & (F.col("r.host") == F.col("o.host"))
+    joined = placed.join(own.alias("o"), same, "left").select("r.page_id", "r.url", "r.html", "o.template")
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces_of(batches, "html", 4 << 20):
