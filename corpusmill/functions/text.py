@@ -6,6 +6,7 @@ an earlier projection holds, not expressions, which would be computed for each e
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
@@ -100,6 +101,11 @@ def strip_front_matter(c: Column) -> Column:
     return F.struct(F.when(removed > 0, F.ltrim(rest, F.lit("\n"))).otherwise(c).alias("text"), removed.cast("long").alias("removed"))
 
 
+def blank(c: Column) -> Column:
+    """Whether a text is null or nothing but white space."""
+    return F.regexp_replace(F.coalesce(c, F.lit("")), SPACES, "") == ""
+
+
 def split_words(c: Column) -> Column:
     """Words at Unicode white space, as they stand."""
     return F.filter(F.split(c, SPACES), lambda w: w != "")
@@ -125,14 +131,12 @@ def stem(w: Column) -> Column:
 
 def behaviour_content(c: Column) -> Column:
     """Stems of words over two letters that are no function words; both tests are of the word as it stands."""
-    stop = F.array(*map(F.lit, BEHAVIOUR_STOPWORDS))
-    return F.transform(F.filter(words_of(c), lambda w: (F.length(w) > 2) & ~F.array_contains(stop, w)), stem)
+    return F.transform(F.filter(words_of(c), lambda w: (F.length(w) > 2) & ~w.isin(*BEHAVIOUR_STOPWORDS)), stem)
 
 
 def improv_content(c: Column) -> Column:
     """Lower-cased runs of letters and apostrophes that are no function words."""
-    stop = F.array(*map(F.lit, IMPROV_STOPWORDS))
-    return F.filter(F.transform(F.regexp_extract_all(c, F.lit("([A-Za-z']+)"), F.lit(1)), F.lower), lambda w: ~F.array_contains(stop, w))
+    return F.filter(F.transform(F.regexp_extract_all(c, F.lit("([A-Za-z']+)"), F.lit(1)), F.lower), lambda w: ~w.isin(*IMPROV_STOPWORDS))
 
 
 def sentences(c: Column) -> Column:
@@ -143,7 +147,7 @@ def sentences(c: Column) -> Column:
 def proper_nouns(c: Column) -> Column:
     """Distinct capitalised words that do not begin a sentence, sorted."""
     words = F.flatten(F.transform(sentences(c), lambda s: F.slice(split_words(s), F.lit(2), F.size(split_words(s)))))
-    return F.array_sort(F.array_distinct(F.filter(F.transform(words, lambda w: F.regexp_extract(w, r"^([A-Z][a-z]+)\b", 1)), lambda w: w != "")))
+    return F.array_sort(F.array_distinct(F.filter(F.transform(words, lambda w: F.regexp_extract(w, r"^([A-Z][a-z]+)(?![\p{L}\p{N}_])", 1)), lambda w: w != "")))
 
 
 def markers_found(c: Column) -> Column:
@@ -158,7 +162,7 @@ def frame_collapsed(found: Column) -> Column:
 
 def repeat_rate(words: Column, n: int = 4) -> Column:
     """1 - distinct / all n-grams; null for fewer than n words."""
-    grams = F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.array_join(F.slice(words, i, n), " "))
+    grams = F.transform(F.sequence(F.lit(0), F.size(words) - n), lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(n)]))
     return F.when(F.size(words) >= n, 1 - F.size(F.array_distinct(grams)) / F.size(grams))
 
 
@@ -170,17 +174,33 @@ def local_repeat(words: Column, window: int = 4) -> Column:
 
 @F.pandas_udf(IntegerType())
 def longest_repeat(words):
-    """Length of the longest n-gram that stands twice. If one of n words does, one of n - 1 words does, so n is
-    found by bisection."""
+    """Length of the longest n-gram that stands twice. Names are given to all runs of 1, 2, 4, ... words from those of
+    half the length, equal names for equal runs; a run of any length is two that overlap. If one of n words stands
+    twice, one of n - 1 words does, so n is found by bisection. Memory is the logarithm of the words times their number."""
+
+    def named(a, b):
+        return np.unique(a * (int(b.max()) + 1) + b, return_inverse=True)[1]
 
     def longest(row) -> int:
         ids = {w: k for k, w in enumerate(dict.fromkeys(row))}
-        line = tuple(ids[w] for w in row)
-        lo, hi = 0, max(0, len(line) - 1)
+        runs = [np.array([ids[w] for w in row], np.int64)]
+        while len(runs[-1]) > 1 and len(np.unique(runs[-1])) < len(runs[-1]) and len(runs[-1]) > 1 << (len(runs) - 1):
+            half = 1 << (len(runs) - 1)
+            runs.append(named(runs[-1][: len(runs[-1]) - half], runs[-1][half:]))
+
+        def twice(n: int) -> bool:
+            k = min(n.bit_length() - 1, len(runs) - 1)
+            if 2 << k < n:
+                return False  # no run of 2 ** k words stands twice
+            a = runs[k][: len(row) - n + 1]
+            b = runs[k][n - (1 << k) :][: len(a)]
+            names = named(a, b)
+            return len(np.unique(names)) < len(names)
+
+        lo, hi = 0, max(0, len(row) - 1)
         while lo < hi:
             n = (lo + hi + 1) // 2
-            grams = [line[k : k + n] for k in range(len(line) - n + 1)]
-            lo, hi = (n, hi) if len(set(grams)) < len(grams) else (lo, n - 1)
+            lo, hi = (n, hi) if twice(n) else (lo, n - 1)
         return lo
 
     return words.map(lambda x: None if x is None else longest(x))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions import text as T
 from corpusmill.operators.prefix import running_total
+from corpusmill.operators.shared import small, unused
 
 #: Fixed value: tokens taken for a word where no tokenizer is at hand.
 TOKENS_PER_WORD = 1.3
@@ -42,13 +43,14 @@ def matches(authors: Column, shelves: Column, selector_authors: Column, selector
 
 def cleaned(docs: DataFrame) -> DataFrame:
     """Boilerplate, then front matter, then white space: columns text, status, removed."""
-    step = docs.withColumn("_b", T.strip_boilerplate(F.col("text"))).withColumn("_f", T.strip_front_matter(F.col("_b.text")))
-    return step.withColumns({"text": T.normalise(F.col("_f.text")), "status": F.col("_b.status"), "removed": F.col("_f.removed")}).drop("_b", "_f")
+    body, front = unused(docs, "body", "front")
+    step = docs.withColumn(body, T.strip_boilerplate(F.col("text"))).withColumn(front, T.strip_front_matter(F.col(f"{body}.text")))
+    return step.withColumns({"text": T.normalise(F.col(f"{front}.text")), "status": F.col(f"{body}.status"), "removed": F.col(f"{front}.removed")}).drop(body, front)
 
 
 def grouped_documents(docs: DataFrame, rows_per_document: int) -> DataFrame:
     """(source, group_no, n_rows, text): every ``rows_per_document`` kept rows of a source, by doc_id, joined by an empty line."""
-    kept = docs.where(F.trim("text") != "")
+    kept = docs.where(~T.blank(F.col("text")))
     numbered = running_total(kept, ["source"], "doc_id", F.lit(1), "rank")
     group = F.floor(F.col("rank") / rows_per_document).cast("long").alias("group_no")
     parts = F.array_sort(F.collect_list(F.struct("doc_id", "text")))
@@ -65,6 +67,27 @@ def availability(docs: DataFrame) -> DataFrame:
     return counts.withColumn("tokens", F.floor(F.col("words") * TOKENS_PER_WORD).cast("long"))
 
 
+def largest_budget(reg: DataFrame, available: DataFrame) -> DataFrame:
+    """One row (budget): the most tokens of which every source can supply its share, 0 if one has nothing."""
+    joined = reg.join(available, reg["name"] == available["source"], "left")
+    can = F.coalesce("tokens", F.lit(0)) * F.col("upsample") / F.col("target_share")
+    return joined.where("target_share > 0").agg(F.coalesce(F.min(can), F.lit(0.0)).alias("budget"))
+
+
+def plan_blend(reg: DataFrame, available: DataFrame, budget: Column) -> DataFrame:
+    """Rows (source, want, words, tokens, upsample, target): each source's tokens of the budget, and the words these
+    are. A source that cannot supply them, even repeated as often as declared, is an error, and so is one that has
+    words without tokens or tokens without words."""
+    joined = reg.join(available, reg["name"] == available["source"], "left")
+    has, words = F.coalesce("tokens", F.lit(0).cast("long")), F.coalesce("words", F.lit(0).cast("long"))
+    want = F.bround(F.col("target_share") * budget).cast("long")
+    short = F.concat(F.col("name"), F.lit(" cannot supply "), want.cast("string"), F.lit(" tokens"))
+    empty = F.concat(F.col("name"), F.lit(" has words without tokens, or tokens without words"))
+    checked = F.when(has * F.col("upsample") < want, F.raise_error(short).cast("long")).when((has > 0) != (words > 0), F.raise_error(empty).cast("long")).otherwise(want)
+    plan = joined.select(F.col("name").alias("source"), checked.alias("want"), words.alias("words"), has.alias("tokens"), "upsample")
+    return plan.where("want > 0").withColumn("target", F.col("want") / (F.col("tokens") / F.col("words")))
+
+
 def shortfalls(reg: DataFrame, available: DataFrame, budget: int) -> DataFrame:
     """Every source with what it needs and has; needed is null where nothing is available."""
     joined = reg.join(available, reg["name"] == available["source"], "left")
@@ -88,16 +111,23 @@ def emit(docs: DataFrame, plan: DataFrame) -> DataFrame:
 
 def tail_split(df: DataFrame, keys: list[str], order: str, fraction: float) -> DataFrame:
     """``df`` with is_val: the last floor(n * fraction) rows of each key by ``order`` (ties together)."""
-    totals = df.groupBy(*keys).agg(F.count("*").alias("_n")) if keys else df.agg(F.count("*").alias("_n"))
-    ranked = running_total(df, keys, order, F.lit(1), "_rank") if keys else running_total(df.withColumn("_all", F.lit(0)), ["_all"], order, F.lit(1), "_rank").drop("_all")
-    joined = ranked.join(totals, keys) if keys else ranked.crossJoin(F.broadcast(totals))  # one row
-    return joined.withColumn("is_val", F.col("_rank") >= F.col("_n") - F.floor(F.col("_n") * fraction)).drop("_n", "_rank")
+    n, rank, one = unused(df, "n", "rank", "one")
+    if not keys:
+        return tail_split(df.withColumn(one, F.lit(0)), [one], order, fraction).drop(one)
+    ranked = running_total(df, keys, order, F.lit(1), rank)
+    totals = df.groupBy(*[F.col(k).alias(f"key_{i}") for i, k in enumerate(keys)]).agg(F.count("*").alias("total"))
+    left, right = ranked.alias("left"), small(totals).alias("right")
+    same = reduce(lambda a, b: a & b, [F.col(f"left.`{k}`").eqNullSafe(F.col(f"right.key_{i}")) for i, k in enumerate(keys)])
+    joined = left.join(right, same).select("left.*", F.col("right.total").alias(n))
+    return joined.withColumn("is_val", F.col(rank) >= F.col(n) - F.floor(F.col(n) * fraction)).drop(n, rank)
 
 
 def sft_example(prompt: Column, completion: Column) -> tuple[Column, Column]:
-    """(input_ids, labels) padded to a multiple of 32: labels are the next tokens of the completion, else -100."""
+    """(input_ids, labels) padded to a multiple of 32: labels are the next tokens of the completion, else -100. An
+    empty prompt is an error: the first token of the completion would have nothing that predicts it."""
     ids = F.concat(prompt, completion)
-    labels = F.concat(F.array_repeat(F.lit(-100), F.size(prompt) - 1), completion, F.array(F.lit(-100)))
+    before = F.when(F.size(prompt) < 1, F.raise_error(F.lit("an example needs a prompt")).cast("int")).otherwise(F.size(prompt) - 1)
+    labels = F.concat(F.array_repeat(F.lit(-100), before), completion, F.array(F.lit(-100)))
     pad = F.pmod(-F.size(ids), F.lit(32))
     return F.concat(ids, F.array_repeat(F.lit(0), pad)), F.concat(labels, F.array_repeat(F.lit(-100), pad))
 

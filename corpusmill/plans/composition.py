@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 from corpusmill.functions import text as T
 from corpusmill.operators import compose as C
 from corpusmill.operators.prefix import running_total
+from corpusmill.operators.shared import written
 from corpusmill.plans.base import DIRTY, Registry, quoted, table
 from corpusmill.plans.texts import HARM, IMPROV_SQL, SENTENCES_SQL, TURNS_SQL, dirty, documents, turn_pairs
 
@@ -31,14 +34,13 @@ def counted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def planned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(source, want, words, tokens, target): target words of each source for the budget, at most what upsampling allows."""
-    avail = C.availability(documents(spark, sf_dir))
-    want = F.least(C.required(F.col("target_share"), BUDGET), F.col("tokens") * F.col("upsample"))
-    joined = reg(spark).join(avail, F.col("name") == F.col("source")).withColumn("want", want)
-    return joined.select("source", "want", "words", "tokens", "upsample", (F.col("want") / (F.col("tokens") / F.col("words"))).alias("target"))
+    """(source, want, words, tokens, upsample, target) for nine tenths of the largest budget that all can supply."""
+    avail = written(C.availability(documents(spark, sf_dir)))  # one row a source
+    budget = C.largest_budget(reg(spark), avail).first()["budget"]
+    return C.plan_blend(reg(spark), avail, F.lit(math.floor(0.9 * budget)))
 
 
-PLAN_SQL = f"{REG_SQL}, {AVAIL_SQL}, plan AS (SELECT a.source, a.words, a.tokens, r.upsample, least(CAST(round_even(share * {BUDGET}, 0) AS BIGINT), tokens * upsample) AS want FROM reg r JOIN avail a ON r.name = a.source), planned AS (SELECT *, want / (tokens / words) AS target FROM plan)"
+PLAN_SQL = f"{REG_SQL}, {AVAIL_SQL}, bud AS (SELECT floor(0.9::DOUBLE * min(coalesce(tokens, 0) * upsample / share)) AS budget FROM reg LEFT JOIN avail ON name = source), plan AS (SELECT a.source, a.words, a.tokens, r.upsample, CAST(round_even(share * budget, 0) AS BIGINT) AS want FROM bud, reg r JOIN avail a ON r.name = a.source), planned AS (SELECT *, want / (tokens / words) AS target FROM plan WHERE want > 0)"
 EMIT_SQL = f"""{PLAN_SQL}, p AS (SELECT source, target, words, unnest(range(0, greatest(CAST(ceil(target / words) AS INTEGER), 1))) AS pass_no FROM planned),
 laid AS (SELECT w.source, p.pass_no, w.doc_id, w.n, p.target, sum(w.n) OVER (PARTITION BY w.source ORDER BY p.pass_no, w.doc_id) - w.n AS pos FROM w JOIN p USING (source)),
 emitted AS (SELECT source, pass_no, doc_id, CASE WHEN pos + n < target THEN n ELSE CAST(floor(target - pos) AS BIGINT) END AS n_take FROM laid WHERE pos < target)"""
@@ -219,12 +221,15 @@ st AS (SELECT *, list_filter(c, lambda x: NOT list_contains(p, x)) AS fresh, lis
  CASE WHEN n < 4 THEN 'too_few_sentences' WHEN NOT list_has_any(p, c) OR len(list_filter(c, lambda x: NOT list_contains(p, x))) = 0 THEN 'no_carry_or_no_add' ELSE 'kept' END AS status FROM w)"""
 
 
-@R.query(f"""WITH {STORY_SQL}, q AS (SELECT *, 100.0 * len(list_filter(c, lambda x: list_contains({quoted(HARM)}, x))) / len(c) - 100.0 * len(list_filter(p, lambda x: list_contains({quoted(HARM)}, x))) / len(p) AS delta FROM st WHERE status = 'kept' AND len(carried) > 0)
-SELECT doc_id, CAST(k AS BIGINT) AS cut_k, coalesce(nullif(array_to_string(l[1:12], ' '), ''), last[1:60]) AS offer, array_to_string(carried[1:6], ' ') AS accept, CASE WHEN delta > 0.5 THEN 'up' WHEN delta < -0.5 THEN 'down' ELSE 'level' END AS stakes,
+@R.query(f"""WITH {STORY_SQL}, q AS (SELECT *, 100.0 * len(list_filter(c, lambda x: list_contains({quoted(HARM)}, x))) / len(c) - 100.0 * len(list_filter(p, lambda x: list_contains({quoted(HARM)}, x))) / len(p) AS delta FROM st WHERE status = 'kept')
+SELECT doc_id, CAST(k AS BIGINT) AS cut_k, coalesce(nullif(array_to_string(l[1:12], ' '), ''), last[1:60]) AS offer, CASE WHEN len(carried) > 0 THEN array_to_string(carried[1:6], ' ') ELSE list_sort(list_transform(list_distinct(list_filter(p, lambda x: list_contains(c, x))), lambda x: {{'k': -len(list_filter(p, lambda y: y = x)), 'w': x}}))[1].w END AS accept, CASE WHEN delta > 0.5 THEN 'up' WHEN delta < -0.5 THEN 'down' ELSE 'level' END AS stakes,
  coalesce(list_filter({IMPROV_SQL.format(t=SENTENCES_SQL.format(t='continuation') + '[-1]')}, lambda x: list_contains(fresh, x))[-1], 'open') AS handback FROM q""")
 def traces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Slots of stories whose last sentence before the cut carries a word on (the add slot is in trace_adds)."""
-    s = slots(spark, sf_dir).where("status = 'kept' AND size(carried) > 0")
+    """Slots of the kept stories (the add slot is in trace_adds). Where the last sentence before the cut carries no
+    word on, the commonest word of the prefix that comes again is accepted, the first by letter among equals."""
+    s = slots(spark, sf_dir).where("status = 'kept'")
+    again = F.transform(F.array_intersect("p", "c"), lambda w: F.struct((-F.size(F.filter("p", lambda x: x == w))).alias("n"), w.alias("w")))
+    s = s.withColumn("carried", F.when(F.size("carried") > 0, F.col("carried")).otherwise(F.array(F.array_min(again)["w"])))
     delta = T.intensity(F.col("continuation"), HARM) - T.intensity(F.col("prefix"), HARM)
     tail = s.withColumn("tail", T.improv_content(F.try_element_at(T.sentences(F.col("continuation")), F.lit(-1))))
     back = F.filter("tail", lambda x: F.array_contains("fresh", x))

@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpusmill.operators import vectors as V
+from corpusmill.operators.prefix import running_total
 from corpusmill.plans.base import Registry, table
 
 R = Registry()
@@ -56,9 +57,11 @@ def perm_purity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Purity of the same neighbour graph under five hash-ordered label permutations."""
     p = points(spark, sf_dir).select("id", "label")
     trials = p.select("id", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("trial"))
-    by_hash = F.row_number().over(W.partitionBy("trial").orderBy(F.md5(F.concat_ws("-", F.col("trial").cast("string"), F.col("id").cast("string"))), "id"))
-    by_id = p.withColumn("one", F.lit(0)).withColumn("k", F.row_number().over(W.partitionBy("one").orderBy("id"))).select("k", "label")
-    shuffled = trials.withColumn("k", by_hash).join(by_id, "k").select("trial", "id", "label")
+    # The order of the first 60 bits of a hash; ranks are running counts, so no trial meets in one task.
+    turn = F.conv(F.substring(F.md5(F.concat_ws("-", F.col("trial").cast("string"), F.col("id").cast("string"))), 1, 15), 16, 10).cast("long")
+    by_hash = running_total(trials.withColumn("turn", turn), ["trial"], "turn", F.lit(1), "k").select("trial", "id", "k")
+    by_id = running_total(p.withColumn("one", F.lit(0)), ["one"], "id", F.lit(1), "k").select("k", "label")
+    shuffled = by_hash.join(by_id, "k").select("trial", "id", "label")
     near = graph(spark, sf_dir).select("id", "neighbour")
     pairs = near.join(shuffled, "id").join(shuffled.withColumnsRenamed({"id": "neighbour", "label": "nl"}), ["neighbour", "trial"])
     each = pairs.groupBy("trial").agg(F.avg((F.col("label") == F.col("nl")).cast("int")).alias("p"))
@@ -229,7 +232,10 @@ def gumbel_draw(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pca_2d(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Coordinates on the two main axes, from a Gram matrix summed over all rows; signs by the largest weight."""
     p = points(spark, sf_dir)
-    n, total, products = V.gram(p, len(p.first()["v"]))
+    one = p.select("v").first()
+    if one is None:
+        return p.select("id", F.lit(None).cast("double").alias("pc1"), F.lit(None).cast("double").alias("pc2"))
+    n, total, products = V.gram(p, len(one["v"]))
     mean = total / n
     _, axes = np.linalg.eigh(products / n - np.outer(mean, mean))
     axes = axes[:, ::-1][:, :2]

@@ -125,9 +125,9 @@ def doc_stems(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @R.query(f"""SELECT doc_id, array_to_string(coalesce(list_sort(list_distinct(list_filter(list_transform(flatten(list_transform({SENTENCES_SQL.format(t='text')}, lambda s: list_filter(regexp_split_to_array(s, '\\s+'), lambda q: q <> '')[2:])),
- lambda x: regexp_extract(x, '^([A-Z][a-z]+)(?:[^A-Za-z0-9_À-ÿŒœ]|$)', 1)), lambda x: x <> ''))), []), ' ') AS names FROM documents WHERE lang = 'en'""")
+ lambda x: regexp_extract(x, '^([A-Z][a-z]+)(?:[^\\p{{L}}\\p{{N}}_]|$)', 1)), lambda x: x <> ''))), []), ' ') AS names FROM documents""")
 def doc_proper_nouns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return documents(spark, sf_dir).where("lang = 'en'").select("doc_id", F.array_join(T.proper_nouns(F.col("text")), " ").alias("names"))
+    return documents(spark, sf_dir).select("doc_id", F.array_join(T.proper_nouns(F.col("text")), " ").alias("names"))
 
 
 #: Text with markers in it, by doc_id.

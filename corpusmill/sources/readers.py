@@ -7,19 +7,20 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions import text as T
 from corpusmill.operators.prefix import running_total
+from corpusmill.operators.shared import unused
 
 TRAJECTORY = "step long, train_loss double, val_loss double, lr double"
 
 
 def jsonl(lines: DataFrame, column: str = "value") -> DataFrame:
     """(text, status) of JSON lines: ok, empty (an object without text) or skipped (malformed, no object, text no string)."""
-    trimmed = F.trim(F.col(column))
-    as_map = F.from_json(trimmed, "map<string,string>", {"mode": "PERMISSIVE"})
-    value = F.get_json_object(trimmed, "$.text")
-    is_object = trimmed.startswith("{") & as_map.isNotNull()
-    # A string keeps its quotes in the raw object; other kinds have none.
-    stringy = trimmed.rlike(r'"text"\s*:\s*"')
-    status = F.when(~F.coalesce(is_object, F.lit(False)), "skipped").when(value.isNull() & ~trimmed.rlike(r'"text"\s*:\s*null'), "empty").when(~stringy, "skipped").when(F.trim(value) == "", "empty").otherwise("ok")
+    row = F.try_parse_json(F.col(column))
+    is_object = F.coalesce(F.startswith(F.schema_of_variant(row), F.lit("OBJECT")), F.lit(False))
+    text = F.try_variant_get(row, "$.text", "variant")
+    kind = F.when(is_object, F.schema_of_variant(text))
+    value = F.when(kind == "STRING", F.try_variant_get(row, "$.text", "string"))
+    skipped = ~is_object | F.coalesce(~kind.isin("STRING", "VOID"), F.lit(False))
+    status = F.when(skipped, "skipped").when(T.blank(value), "empty").otherwise("ok")
     return lines.select(F.when(status == "ok", value).otherwise("").alias("text"), status.alias("status"))
 
 
@@ -43,7 +44,8 @@ def budgeted(rows: DataFrame, order: str, limit: int) -> DataFrame:
     """The first ``limit`` rows by ``order``, counted before any filter; 0 is no limit. Ties of the last stay together."""
     if limit <= 0:
         return rows
-    return running_total(rows.withColumn("_all", F.lit(0)), ["_all"], order, F.lit(1), "_before").where(F.col("_before") < limit).drop("_all", "_before")
+    one, before = unused(rows, "one", "before")
+    return running_total(rows.withColumn(one, F.lit(0)), [one], order, F.lit(1), before).where(F.col(before) < limit).drop(one, before)
 
 
 def text_column(names: dict[str, str], repo: str) -> Column:
@@ -54,9 +56,8 @@ def text_column(names: dict[str, str], repo: str) -> Column:
 
 def question_answer(instruction: Column, context: Column, response: Column) -> Column:
     """Question, context and answer with empty lines between; empty if the question or the answer is."""
-    blank = lambda c: F.trim(F.coalesce(c, F.lit(""))) == ""
-    body = F.concat_ws("\n\n", F.concat(F.lit("Question: "), F.trim(instruction)), F.when(~blank(context), F.trim(context)), F.concat(F.lit("Answer: "), F.trim(response)))
-    return F.when(blank(instruction) | blank(response), "").otherwise(body)
+    body = F.concat_ws("\n\n", F.concat(F.lit("Question: "), F.trim(instruction)), F.when(~T.blank(context), F.trim(context)), F.concat(F.lit("Answer: "), F.trim(response)))
+    return F.when(T.blank(instruction) | T.blank(response), "").otherwise(body)
 
 
 def stories(blob: DataFrame, id_col: str, column: str, limit_before: int = 0) -> DataFrame:
@@ -74,11 +75,15 @@ def read_lexicon(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_prompts(spark: SparkSession, path: str) -> DataFrame:
-    """(id, probe, text) of a JSON list, or of an object with the list under "prompts"."""
+    """(id, probe, text) of a JSON list, of an object with the list under "prompts", or of plain text: one prompt a
+    line, numbered from 0, blank lines left out."""
     row = "array<struct<id:string,probe:string,text:string>>"
     whole = spark.read.text(path, wholetext=True)
-    found = F.coalesce(F.from_json("value", f"struct<prompts:{row}>")["prompts"], F.from_json("value", row))
-    return whole.select(F.inline(found))
+    listed = F.coalesce(F.from_json("value", f"struct<prompts:{row}>")["prompts"], F.from_json("value", row))
+    lines = F.filter(F.split("value", r"\r?\n"), lambda x: ~T.blank(x))
+    plain = F.transform(lines, lambda x, i: F.struct(i.cast("string").alias("id"), F.lit(None).cast("string").alias("probe"), F.trim(x).alias("text")))
+    is_json = F.substring(F.ltrim("value"), 1, 1).isin("[", "{")
+    return whole.select(F.inline(F.when(is_json, listed).otherwise(plain)))
 
 
 def request_texts(arguments: Column) -> Column:

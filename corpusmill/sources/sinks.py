@@ -7,14 +7,15 @@ import os
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.functions.text import SEPARATOR
+from corpusmill.functions.text import SEPARATOR, blank
 
 
-def write_documents(docs: DataFrame, path: str, text_col: str = "text", overwrite: bool = False) -> None:
-    """One JSON object {"text": ...} a line; null and blank texts are left out. An existing path is refused unless
-    ``overwrite``, before any work."""
-    kept = docs.where(F.trim(F.coalesce(F.col(text_col), F.lit(""))) != "").select(F.col(text_col).alias("text"))
+def write_documents(docs: DataFrame, path: str, text_col: str = "text", overwrite: bool = False) -> int:
+    """One JSON object {"text": ...} a line; null and blank texts are left out. Returns how many were written. An
+    existing path is refused unless ``overwrite``, before any work."""
+    kept = docs.where(~blank(F.col(text_col))).select(F.col(text_col).alias("text"))
     kept.write.mode("overwrite" if overwrite else "errorifexists").json(path)
+    return docs.sparkSession.read.schema("text string").json(path).count()
 
 
 def write_separated(docs: DataFrame, path: str, order: str, text_col: str = "text") -> None:

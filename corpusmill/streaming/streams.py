@@ -8,12 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.functions import text as T
+from corpusmill.operators.shared import shared_dir
 
 
 def work_dir(spark: SparkSession) -> str:
     """A new folder in the one that all executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "file:///tmp/corpusmill-streams"
-    return f"{base}/stream-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def cleaned(docs: DataFrame) -> DataFrame:
