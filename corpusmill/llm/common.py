@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 from collections.abc import Iterator
@@ -54,6 +55,14 @@ def pieces_of(batches: Iterator[pa.RecordBatch], column: str, most: int = SHARD_
             to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right")))
             yield batch.slice(at, to - at)
             at = to
+    release()
+
+
+def release() -> None:
+    """Give memory that a task has freed back to the system: its worker waits for the next task, beside the JVM."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
 
 
 def utf8_values(column: pa.Array) -> list[bytes]:

@@ -27,7 +27,7 @@ FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 o
 #: Text of the items in one block of phrases.
 BLOCK_BYTES = 4 << 20
 #: Text that a task takes at once, and words of an index; a longer text is indexed in stretches.
-SHARD_BYTES, SHARD_WORDS = 4 << 20, 1 << 20
+SHARD_BYTES, SHARD_WORDS = 2 << 20, 1 << 19
 #: Occurrences located at once within a task.
 ROWS_AT_ONCE = 1 << 18
 
