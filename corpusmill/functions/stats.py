@@ -66,3 +66,9 @@ def npmi(n_ab: Column, n_a: Column, n_b: Column, n: Column) -> Column:
     """Normalised pointwise mutual information within 0 and 1; 0 for what is unseen or always together."""
     p = n_ab / n
     return F.when((n_ab > 0) & (n_ab < n), F.greatest(F.lit(0.0), F.ln(p / ((n_a / n) * (n_b / n))) / -F.ln(p))).otherwise(0.0)
+
+
+def retention(value: Column, floor: Column, best: Column, best_floor: Column) -> Column:
+    """The share of the best reading's room above its floor that a value keeps; 0 where there is no room."""
+    room = best - best_floor
+    return F.when(room > 0, (value - floor) / room).otherwise(0.0)

@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ["texts", "composition", "measures", "register", "geometry", "inout", "draws", "recipes"]
+MODULES = ["texts", "composition", "measures", "register", "geometry", "inout", "draws", "recipes", "layout"]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
