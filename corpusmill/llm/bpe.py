@@ -28,7 +28,7 @@ from corpusmill.llm.common import pieces_of
 #: Texts of more bytes are cut into leaves of about LEAF_BYTES, encoded in parallel.
 LONG_BYTES, LEAF_BYTES = 1 << 16, 1 << 15
 #: Chunks remembered by a worker; beyond that it starts anew.
-REMEMBERED = 250_000
+REMEMBERED = 100_000
 #: Characters for which NFC changes nothing and lower-casing keeps each UTF-8 length; white space is ASCII.
 PLAIN = re.compile("[^\t-\r -~¡-¬®-įı-ž]")
 FIRST_WINDOW = 4

@@ -22,11 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import checkpointed, grouped_blobs, mix64, pieces_of, text_volume, unpack_blobs, utf8_values
+from corpusmill.llm.common import checkpointed, grouped_blobs, mix64, pieces_of, release, text_volume, unpack_blobs, utf8_values
 
 ANCHOR = 40
 #: Text in one numpy working set; anchors gathered before they are dealt out; rows of a batch of the index family.
-SHARD_BYTES, ANCHORS_AT_ONCE, BATCH_ROWS = 1 << 21, 1 << 18, 1 << 16
+SHARD_BYTES, ANCHORS_AT_ONCE, BATCH_ROWS = 1 << 20, 1 << 17, 1 << 16
 #: Text whose anchors share a bucket, text of a group of documents, on average.
 BUCKET_BYTES, GROUP_BYTES = 12 << 20, 6 << 20
 NULL_ID = np.iinfo(np.int64).min
@@ -204,7 +204,7 @@ def _deal_anchors(rows: DataFrame, length: int, buckets: int) -> DataFrame:
 def _cut_long(texts: list[bytes], ids: list[np.ndarray], length: int) -> Iterator[list[np.ndarray]]:
     """Anchored pieces of the texts; one longer than a working set is taken in stretches that overlap in
     length - 1 bytes, so that each window is in one of them. An anchor only depends on its window."""
-    stretch = 4 * SHARD_BYTES
+    stretch = SHARD_BYTES
     jobs = [(k, at, text[at : at + stretch]) for k, text in enumerate(texts) for at in range(0, max(1, len(text) - length + 1), stretch - length + 1)]
     while jobs:
         take, total = [], 0
@@ -221,6 +221,7 @@ def _cut_long(texts: list[bytes], ids: list[np.ndarray], length: int) -> Iterato
 
 
 def _round_one(key, group, length: int, groups: int):
+    release()
     anchor, whole, *rest = unpack_blobs(group.column("blob").to_pylist(), ANCHORED)
     ident = mix64(anchor) + whole * WORDS[40]
     index, out = Levels(_same_fingerprints), []
@@ -240,6 +241,7 @@ def _round_one(key, group, length: int, groups: int):
 
 def _spans_of(group, blobs) -> tuple[list[np.ndarray], np.ndarray, list[bytes]]:
     """Spans of a group of documents, the row each belongs to, and the texts. Repeated rows share their spans."""
+    release()
     cols = unpack_blobs(blobs.column("blob").to_pylist(), SPAN)
     texts = utf8_values(group.column("text").combine_chunks() if group.num_rows else pa.array([], pa.string()))
     return cols, np.array(list(zip(*(group.column(c).to_pylist() for c in ("did", "th")), strict=True)), np.int64).reshape(-1, 2), texts
@@ -258,6 +260,7 @@ def _deal_pieces(key, group, blobs, buckets: int):
 
 
 def _round_two(key, group, length: int, groups: int):
+    release()
     index, out = Levels(), []
     parts: list[list[np.ndarray]] = []
     held = 0
@@ -315,7 +318,7 @@ def _finish(key, group, blobs, columns: list[str], text_col: str | None):
             edges = [0, *(x for s in gone for x in s), len(text)]
         spans.append([{"begin": x, "end": y} for x, y in gone])
         kept.append(b"".join(text[edges[k] : edges[k + 1]] for k in range(0, len(edges), 2)))
-    data = {c: group.column(c) for c in columns}
+    data = {c: group.column(f"other_{k}") for k, c in enumerate(columns)}
     if text_col:
         return pa.table(data | {text_col: pa.array([x.decode() for x in kept], pa.string())})
     return pa.table(data | {"repeat_spans": pa.array(spans, pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))), "kept_bytes": pa.array(kept, pa.binary())})
@@ -347,7 +350,7 @@ def without_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id",
     the same text; overlaps count; strings never cross texts and are judged on the input. Null and empty texts
     have no bytes. A null id comes before all others. Rows with one id but different texts are ordered by a hash
     of the text; rows alike in id and text count as one document and get equal results. Further columns are
-    handed through, whatever their names but ``did``, ``th``, ``repeat_spans``, ``kept_bytes``. An empty table gives an empty result.
+    handed through, whatever their names but ``repeat_spans``, ``kept_bytes``. An empty table gives an empty result.
     """
     if length < 2 * ANCHOR or length > 255:
         raise ValueError(f"length must be {2 * ANCHOR} to 255")
@@ -363,7 +366,7 @@ def without_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id",
     one = checkpointed(anchors.groupBy("bucket").applyInArrow(lambda k, g: pa.Table.from_batches([_round_one(k, g, length, groups)]), blobs))
 
     # The same exchange of the texts serves both cogroups.
-    dealt = docs.select(_group_of(did, th, groups).alias("bucket_of"), did.alias("did"), th.alias("th"), text.alias("text"), *others)
+    dealt = docs.select(_group_of(did, th, groups).alias("bucket_of"), did.alias("did"), th.alias("th"), text.alias("text"), *[F.col(f"`{c}`").alias(f"other_{k}") for k, c in enumerate(others)])
     by_group = dealt.groupBy("bucket_of")
     pieces = by_group.cogroup(one.groupBy("bucket")).applyInArrow(lambda k, g, b: pa.Table.from_batches([_deal_pieces(k, g, b, buckets)]), blobs)
     two = pieces.groupBy("bucket").applyInArrow(lambda k, g: pa.Table.from_batches([_round_two(k, g, length, groups)]), blobs)

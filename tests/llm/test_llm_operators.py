@@ -235,6 +235,13 @@ def test_fm_index_finds_every_occurrence():
         assert sorted(index.locate(np.arange(lo[0], hi[0])).tolist()) == [i for i in range(n - len(p) + 1) if (s[i : i + len(p)] == p).all()]
 
 
+def test_repeats_keep_columns_of_any_name(docs):
+    line = " ".join(f"w{k}" for k in range(60))
+    table = docs([(1, line), (2, line), (3, None)]).withColumns({c: F.lit(c) for c in ("did", "th", "bucket_of", "bucket", "blob", "other_0")})
+    got = {r["doc_id"]: r.asDict() for r in repeats.deduplicated(table).collect()}
+    assert [got[k]["text"] for k in (1, 2, 3)] == [line, "", ""] and all(got[1][c] == c for c in ("did", "th", "bucket_of", "bucket", "blob", "other_0"))
+
+
 def brute_hits(rows, items, window):
     find = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
     asked = defaultdict(set)
