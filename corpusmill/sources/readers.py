@@ -14,8 +14,12 @@ TRAJECTORY = "step long, train_loss double, val_loss double, lr double"
 
 def jsonl(lines: DataFrame, column: str = "value") -> DataFrame:
     """(text, status) of JSON lines: ok, empty (an object without text) or skipped (malformed, no object, text no string)."""
-    row = F.try_parse_json(F.col(column))
-    is_object = F.coalesce(F.startswith(F.schema_of_variant(row), F.lit("OBJECT")), F.lit(False))
+    # In brackets, what follows the first value makes the line malformed or a second value.
+    line = F.regexp_replace(F.col(column), r"^\s+|\s+$", "")
+    listed = F.try_parse_json(F.concat(F.lit("["), line, F.lit("]")))
+    row = F.try_variant_get(listed, "$[0]", "variant")
+    alone = line.endswith("}") & F.try_variant_get(listed, "$[1]", "variant").isNull()
+    is_object = F.coalesce(alone & F.startswith(F.schema_of_variant(row), F.lit("OBJECT")), F.lit(False))
     text = F.try_variant_get(row, "$.text", "variant")
     kind = F.when(is_object, F.schema_of_variant(text))
     value = F.when(kind == "STRING", F.try_variant_get(row, "$.text", "string"))
