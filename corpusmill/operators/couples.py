@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.operators.shared import small, written
 
-#: Couples meant for one bucket; couples and numbers held at once within a task.
+#: Couples meant for one bucket (each once from sets sent in part, twice from whole ones); couples and numbers held at once within a task.
 BUCKET_COUPLES, COUPLES_AT_ONCE = 1 << 23, 1 << 20
 
 
@@ -42,7 +42,7 @@ class Numbered:
     def dealt(self, whole: bool) -> DataFrame:
         """Rows (bucket, buckets, blob): sets in the buckets of their words."""
         total = self.sets.agg(F.coalesce(F.sum(F.size("ids").cast("long") * (F.size("ids") - 1)), F.lit(0)).alias("n")).first()["n"]
-        buckets = max(12, -(-total // (1 + (not whole)) // BUCKET_COUPLES))
+        buckets = max(12, -(-total // (2 * BUCKET_COUPLES)))
 
         def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -84,30 +84,52 @@ def spans(start: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.repeat(start - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
 
 
+def planes(x: np.ndarray) -> bytes:
+    """32-bit numbers byte plane by byte plane, which compresses."""
+    return x.astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
 def packed(row: np.ndarray, n: np.ndarray, ids: np.ndarray, times: np.ndarray | None) -> bytes:
-    """Numbers as steps, byte plane by byte plane, which compresses."""
-    steps = np.diff(ids, prepend=np.int32(0)).astype("<i4")
-    planes = [x.astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes() for x in (n, steps, *([] if times is None else [times]))]
-    return np.int64([len(row), len(ids)]).tobytes() + row.astype("<i8").tobytes() + b"".join(planes)
-
-
-def unpacked(blobs: list[bytes], timed: bool) -> list[np.ndarray]:
-    """(row, n, ids, times) of all blobs, one after the other."""
-    parts: list[list[np.ndarray]] = [[], [], [], []]
-    plane = lambda b, at, k: np.ascontiguousarray(np.frombuffer(b, np.uint8, 4 * k, at).reshape(4, k).T).view("<i4").ravel()
-    for b in blobs:
-        rows, k = np.frombuffer(b, np.int64, 2).tolist()
-        parts[0].append(np.frombuffer(b, np.int64, rows, 16))
-        at = 16 + 8 * rows
-        parts[1].append(plane(b, at, rows))
-        parts[2].append(np.cumsum(plane(b, at + 4 * rows, k), dtype=np.int32))
-        parts[3].append(plane(b, at + 4 * rows + 4 * k, k) if timed else np.empty(0, np.int32))
-    return [np.concatenate(p) if p else np.empty(0, np.int32) for p in parts]
-
-
-def by_word(ids: np.ndarray, cost: np.ndarray, mine: np.ndarray) -> Iterator[np.ndarray]:
-    """Places of the words in ``mine``, by word; parts of about COUPLES_AT_ONCE in cost, all places of a word in one part."""
-    order = mine[np.argsort(ids[mine], kind="stable")]
+    """Numbers as steps; of times a bit each, and what is above 0."""
+    steps = np.diff(ids, prepend=np.int32(0))
+    some = np.empty(0, np.int32) if times is None else times[times > 0]
+    bits = b"" if times is None else np.packbits(times > 0).tobytes()
+    return np.int64([len(row), len(ids), len(some)]).tobytes() + row.astype("<i8").tobytes() + planes(n) + planes(steps) + planes(some) + bits
+
+
+def unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, n, ids, times) of a blob; times are 0 where it has none."""
+    rows, k, some = np.frombuffer(blob, np.int64, 3).tolist()
+    ends = np.cumsum([24, 8 * rows, 4 * rows, 4 * k, 4 * some]).tolist()
+    n, steps, above = (np.ascontiguousarray(np.frombuffer(blob, np.uint8, 4 * m, at).reshape(4, m).T).view("<i4").ravel() for at, m in zip(ends[1:], (rows, k, some), strict=False))
+    times = np.zeros(k, np.int32)
+    if some:
+        times[np.unpackbits(np.frombuffer(blob, np.uint8, -1, ends[4]), count=k).astype(bool)] = above
+    return np.frombuffer(blob, np.int64, rows, 24), n, np.cumsum(steps, dtype=np.int32), times
+
+
+class Cell:
+    """All sets of one bucket: row, n and end of each; ids and whether times are above 0 (more) of each word; of the bucket's
+    own words their place (mine), set (own) and times."""
+
+    def __init__(self, key: tuple[pa.Scalar, ...], group: Iterator[pa.RecordBatch]):
+        parts: list[list[np.ndarray]] = [[np.empty(0, t)] for t in (np.int64, np.int32, np.int32, bool, np.int64, np.int32)]
+        at = 0
+        for batch in group:
+            for blob in batch.column("blob"):
+                row, n, ids, times = unpacked(blob.as_py())
+                mine = np.flatnonzero(bucket_of(ids, key[1].as_py()) == key[0].as_py())
+                for part, x in zip(parts, (row, n, ids, times > 0, mine + at, times[mine]), strict=True):
+                    part.append(x)
+                at += len(ids)
+        self.row, self.n, self.ids, self.more, self.mine, self.times = (np.concatenate(x) for x in parts)
+        self.end = np.cumsum(self.n, dtype=np.int64)
+        self.own = np.searchsorted(self.end, self.mine, side="right")
+
+
+def by_word(ids: np.ndarray, cost: np.ndarray) -> Iterator[np.ndarray]:
+    """Places of ``ids``, by word; parts of about COUPLES_AT_ONCE in cost, all places of a word in one part."""
+    order = np.argsort(ids, kind="stable")
     if not len(order):
         return
     ends = np.cumsum(cost[order])
@@ -151,14 +173,13 @@ def couple_counts(numbered: Numbered) -> DataFrame:
 
     def count(key: tuple[pa.Scalar, ...], group: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count_of = np.repeat(values, runs)
-        _, n, ids, _ = unpacked([x for batch in group for x in batch.column("blob").to_pylist()], False)
-        left = np.repeat(np.cumsum(n), n) - np.arange(len(ids)) - 1
-        mine = np.flatnonzero((bucket_of(ids, key[1].as_py()) == key[0].as_py()) & (left > 0))
+        c = Cell(key, group)
+        left = c.end[c.own] - c.mine - 1
 
         def code(at: np.ndarray) -> np.ndarray:
-            return np.repeat(ids[at].astype(np.int64) << 32, left[at]) | ids[spans(at + 1, left[at])]
+            return np.repeat(c.ids[c.mine[at]].astype(np.int64) << 32, left[at]) | c.ids[spans(c.mine[at] + 1, left[at])]
 
-        for places in by_word(ids, left, mine):
+        for places in by_word(c.ids[c.mine], left):
             found, times = couples_of(places, left, code)
             x, y = found >> 32, found & 0xFFFFFFFF
             for at in range(0, len(x), 1 << 17):
@@ -175,34 +196,31 @@ def best_partners(numbered: Numbered, n: int) -> DataFrame:
 
     def score(key: tuple[pa.Scalar, ...], group: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         share = np.repeat(values, runs) / n
-        row, sizes, ids, times = unpacked([x for batch in group for x in batch.column("blob").to_pylist()], True)
-        own = np.repeat(np.arange(len(row)), sizes)
-        first, size = (np.cumsum(sizes) - sizes)[own], sizes[own].astype(np.int64)
-        total = np.zeros(len(row))
-        mine = np.flatnonzero(bucket_of(ids, key[1].as_py()) == key[0].as_py())
+        c = Cell(key, group)
+        size = c.n[c.own].astype(np.int64)
+        first, word, total = c.end[c.own] - size, c.ids[c.mine].astype(np.int64) << 32, np.zeros(len(c.row))
 
         def code(at: np.ndarray) -> np.ndarray:
-            return np.repeat(ids[at].astype(np.int64) << 32, size[at]) | ids[spans(first[at], size[at])]
+            return np.repeat(word[at], size[at]) | c.ids[spans(first[at], size[at])]
 
-        for places in by_word(ids, size, mine):
-            if not (times[places] > 0).any():
+        for places in by_word(c.ids[c.mine], size):
+            if not (c.times[places] > 0).any():
                 continue
             found, both = couples_of(places, size, code)
             # Scores of distinct couples; those of a word with itself are never asked.
             p = both / n
-            x, y = found >> 32, found & 0xFFFFFFFF
             with np.errstate(divide="ignore", invalid="ignore"):
-                s = np.where(both < n, np.maximum(0.0, np.log(p / (share[x] * share[y])) / -np.log(p)), 0.0)
-            for at in pieces(places[times[places] > 0], size):
-                asked = spans(first[at], size[at])
-                whose = np.repeat(np.arange(len(at)), size[at])
-                asked, whose = (v[times[asked] == 0] for v in (asked, whose))
-                got = s[np.searchsorted(found, (ids[at].astype(np.int64) << 32)[whose] | ids[asked])]
+                s = np.where(both < n, np.maximum(0.0, np.log(p / (share[found >> 32] * share[found & 0xFFFFFFFF])) / -np.log(p)), 0.0)
+            for at in pieces(places[c.times[places] > 0], size):
+                asked, whose = spans(first[at], size[at]), np.repeat(np.arange(len(at)), size[at])
+                before = ~c.more[asked]
+                asked, whose = asked[before], whose[before]
+                got = s[np.searchsorted(found, word[at][whose] | c.ids[asked])]
                 head = np.flatnonzero(np.r_[True, whose[1:] != whose[:-1]][: len(whose)])
                 if len(head):
                     at = at[whose[head]]
-                    np.add.at(total, own[at], times[at] * np.maximum.reduceat(got, head))
-        yield pa.RecordBatch.from_arrays([pa.array(row, pa.int64()), pa.array(total)], names=["row", "total"])
+                    np.add.at(total, c.own[at], c.times[at] * np.maximum.reduceat(got, head))
+        yield pa.RecordBatch.from_arrays([pa.array(c.row), pa.array(total)], names=["row", "total"])
 
     found = numbered.dealt(whole=True).groupBy("bucket", "buckets").applyInArrow(in_batches(score), "row long, total double")
     return found.groupBy("row").agg(F.sum("total").alias("total"))
@@ -213,5 +231,6 @@ def in_batches(run):
 
     def call(key: tuple[pa.Scalar, ...], group: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from run(key, group)
+        pa.default_memory_pool().release_unused()
 
     return call

@@ -57,7 +57,7 @@ def test_parts_keep_words_whole_and_sums_equal(monkeypatch):
     monkeypatch.setattr(P, "COUPLES_AT_ONCE", 7)
     rnd = np.random.default_rng(5)
     ids, cost = rnd.integers(0, 9, 200), rnd.integers(1, 4, 200)
-    parts = list(P.by_word(ids, cost, np.arange(200)))
+    parts = list(P.by_word(ids, cost))
     assert sorted(np.concatenate(parts).tolist()) == list(range(200))
     assert len({int(i) for p in parts for i in np.unique(ids[p])}) == sum(len(np.unique(ids[p])) for p in parts)
     for places in parts:
@@ -65,7 +65,7 @@ def test_parts_keep_words_whole_and_sums_equal(monkeypatch):
         assert dict(zip(found.tolist(), times.tolist(), strict=True)) == Counter((ids[places] * 10 + cost[places]).tolist())
 
 
-@pytest.mark.parametrize("name", ["npmi"])
+@pytest.mark.parametrize("name", ["npmi", "pair_scores"])
 def test_couples_of_sets_are_not_rows(spark, name):
     """Neither a row for each couple of each set nor a shuffle by couples: nothing is dealt out by two words."""
     plan = registry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
