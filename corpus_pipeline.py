@@ -1,4 +1,4 @@
-"""The corpus pipeline: quality rules, shingle near-dedup, suffix-array dedup, benchmark decontamination, BPE.
+"""The corpus pipeline: quality rules, SimHash near-dedup, suffix-array dedup, benchmark decontamination, BPE.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before it kept. run() writes each stage's rows
 to the shared folder and reads them again, so that a lost executor costs one stage at most.
@@ -27,8 +27,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by a similarity of 0.8 or more between sets of five-word shingles."""
-    return neardup.near_deduplicated(docs, shingle_words=5, percent=80)
+    """One document of each group linked by a similarity of 0.8 or more between sets of five-word shingles: by SimHash
+    through the pigeonhole index and an exact check, then exactly for pairs whose fingerprints lie further apart."""
+    return neardup.near_deduplicated(docs, shingle_words=5, percent=80, max_bits=4)
 
 
 def string_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,7 +50,7 @@ def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("quality rules", quality),
-    ("shingle near-dedup", near_dedup),
+    ("SimHash near-dedup", near_dedup),
     ("suffix-array dedup", string_dedup),
     ("benchmark decontamination", decontamination),
     ("BPE encoding", encoding),

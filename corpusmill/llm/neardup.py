@@ -1,15 +1,18 @@
 """Near-duplicates by the Jaccard similarity of their sets of word shingles: every pair at or above the threshold.
 
-Two sets of that similarity share a number of shingles among the first of each in any one order of all shingles
-(prefix filter, lengthened for large sets so that more than one must be shared), here the least common first. Such
+SimHash fingerprints of the sets are linked first, through the generalised pigeonhole index of simhash.py, and each link
+is checked on the whole sets. A fingerprint misses most pairs close to the threshold, so an exact path follows for what
+is not linked yet. Two sets of that similarity share a number of shingles among the first of each in any one order of all
+shingles (prefix filter, lengthened for large sets so that more than one must be shared), here the least common first. Such
 pairs are verified on the whole sets; nothing rests on chance but the 64-bit hashes of shingles and of sets. Pairs that
-stand close to each other in the lists of a few least hashes are verified first, so that a group of copies is one
-component early; then all pairs of different components.
+stand close to each other in the lists of a few least hashes are verified with the first links, so that a group of copies
+is one component early; then all pairs of different components.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +22,8 @@ from pyspark.sql import functions as F
 
 from corpusmill.llm.common import checkpointed, grouped_blobs, mix64, pieces_of, release, unpack_blobs, utf8_values
 from corpusmill.llm.components import connected_components
-from corpusmill.llm.simhash import LOWER, _shingle_digests
+from corpusmill.llm.simhash import BUCKET_ROWS as SIGNATURE_ROWS
+from corpusmill.llm.simhash import LOWER, _shingle_digests, bit_statistics, links, plan_index
 
 #: Shingles are counted on one of so many texts; the counts set the order of shingles, never the result.
 SAMPLE = 16
@@ -55,6 +59,12 @@ def node_of(found: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(found.tobytes()) - (1 << 63)
 
 
+def fingerprint(found: np.ndarray) -> int:
+    """Majority vote over the bits of the hashes of a set, as a signed number."""
+    bits = np.unpackbits(found.view(np.uint8).reshape(-1, 8), axis=1)
+    return int(np.packbits(bits.sum(axis=0, dtype=np.int64) * 2 > len(found)).view(np.int64)[0])
+
+
 def common_shingles(docs: DataFrame, shingle_words: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes (sorted) and counts of the shingles most common in a sample of the texts."""
 
@@ -72,12 +82,12 @@ def common_shingles(docs: DataFrame, shingle_words: int) -> tuple[np.ndarray, np
 
 
 def prefixes(docs: DataFrame, shingle_words: int, percent: int) -> DataFrame:
-    """Rows (nameless, id, key, node, n, prefix, least), one for each input row; repeats within a piece have a null prefix."""
+    """Rows (nameless, id, key, node, n, prefix, least, fp), one for each input row; repeats within a piece have a null prefix."""
     common, times = common_shingles(docs, shingle_words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces_of(batches, "text", PIECE_BYTES):
-            nodes, sizes, firsts, least, seen = [], [], [], [], set()
+            nodes, sizes, firsts, least, prints, seen = [], [], [], [], [], set()
             for x in utf8_values(piece.column("text")):
                 found = shingle_set(x, shingle_words)
                 node, n = node_of(found), len(found)
@@ -86,6 +96,7 @@ def prefixes(docs: DataFrame, shingle_words: int, percent: int) -> DataFrame:
                 if node in seen or not n:
                     firsts.append(None)
                     least.append(None)
+                    prints.append(None)
                     continue
                 seen.add(node)
                 rank = np.zeros(n, np.int64)
@@ -94,12 +105,31 @@ def prefixes(docs: DataFrame, shingle_words: int, percent: int) -> DataFrame:
                     rank = np.where(common[at] == found, times[at], 0)
                 firsts.append(found[np.lexsort((found, rank))][: n - -(-percent * n // 100) + must_share(n)])
                 least.append(found[np.argsort(mix64(found.view(np.uint64)))[:LEAST_HASHES]])
+                prints.append(fingerprint(found))
             yield pa.RecordBatch.from_arrays(
-                [piece.column(c) for c in ("nameless", "id", "key")] + [pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(firsts, pa.list_(pa.int64())), pa.array(least, pa.list_(pa.int64()))],
-                names=["nameless", "id", "key", "node", "n", "prefix", "least"],
+                [piece.column(c) for c in ("nameless", "id", "key")] + [pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(firsts, pa.list_(pa.int64())), pa.array(least, pa.list_(pa.int64())), pa.array(prints, pa.int64())],
+                names=["nameless", "id", "key", "node", "n", "prefix", "least", "fp"],
             )
 
-    return docs.mapInArrow(run, "nameless boolean, id long, key long, node long, n int, prefix array<long>, least array<long>")
+    return docs.mapInArrow(run, "nameless boolean, id long, key long, node long, n int, prefix array<long>, least array<long>, fp long")
+
+
+def close_fingerprints(sets: DataFrame, max_bits: int) -> DataFrame:
+    """Rows (a, b) of nodes whose components are those of all pairs of fingerprints within ``max_bits`` bits.
+
+    ``sets`` has (node, fp). The index is that of simhash.links(): bits grouped by correlation, thresholds by dynamic
+    programming, signatures probed and verified. Sets of one fingerprint are linked to the first of them.
+    """
+    sets = checkpointed(sets.select("node", "fp").distinct())
+    distinct = checkpointed(sets.groupBy("fp").agg(F.min("node").alias("node")))
+    alike = sets.join(distinct.withColumnsRenamed({"node": "first"}), "fp").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    n, together = bit_statistics(distinct)
+    if not n:
+        return alike
+    plan = plan_index(n, together, max_bits)
+    per_node = sum(1 + sum(comb(len(bits), k) for k in range(t + 1)) for bits, t in plan)
+    found = links(distinct, plan, max_bits, max(8, -(-n * per_node // SIGNATURE_ROWS)))
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).unionByName(alike)
 
 
 def candidates(known: DataFrame, percent: int) -> DataFrame:
@@ -230,10 +260,11 @@ def small(keys: DataFrame) -> DataFrame:
     return F.broadcast(keys) if keys.count() <= BROADCAST_TEXTS else keys
 
 
-def near_deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, percent: int = 80) -> DataFrame:
+def near_deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, percent: int = 80, max_bits: int = 4) -> DataFrame:
     """The documents with all their columns, one of each component: the row of the smallest id.
 
-    Two texts are linked if their sets of shingles have a Jaccard similarity of ``percent`` or more. Texts are
+    Two texts are linked if their sets of shingles have a Jaccard similarity of ``percent`` or more. Fingerprints within
+    ``max_bits`` bits are checked first; the radius changes what is found when, not what is found. Texts are
     lower-cased in A-Z only; words split at ASCII white space; texts without words are alike. Rows are told apart
     by id and text, so rows of one id and unlike texts all stay; a null id comes after all others.
     """
@@ -243,12 +274,12 @@ def near_deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     )
     known = checkpointed(prefixes(rows, shingle_words, percent))
     sets = known.where("prefix is not null")
-    near = neighbours(sets)
-    links = verified(near, rows, known, shingle_words, percent)
-    members = connected_components(links)
+    near = close_fingerprints(sets, max_bits).unionByName(neighbours(sets)).distinct()
+    alike = verified(near, rows, known, shingle_words, percent)
+    members = connected_components(alike)
     placed = sets.join(small(members), "node", "left").withColumn("c", F.coalesce("component", "node"))
-    links = links.unionByName(verified(candidates(placed, percent), rows, known, shingle_words, percent))
-    members = connected_components(links)
+    alike = alike.unionByName(verified(candidates(placed, percent), rows, known, shingle_words, percent))
+    members = connected_components(alike)
 
     first = F.min(F.struct("nameless", "id", "key")).alias("m")
     own = known.groupBy("node").agg(first).join(members, "node", "left").select(F.coalesce("component", "node").alias("c"), "m.*")
