@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import checkpointed, grouped_blobs, mix64, pieces_of, release, unpack_blobs, utf8_values
+from corpusmill.llm.common import checkpointed, grouped_blobs, mix64, pieces_of, release, sweep, unpack_blobs, utf8_values
 from corpusmill.llm.components import connected_components
 from corpusmill.llm.simhash import BUCKET_ROWS as SIGNATURE_ROWS
 from corpusmill.llm.simhash import LOWER, _shingle_digests, bit_statistics, links, plan_index
@@ -236,6 +236,7 @@ def neighbours(sets: DataFrame) -> DataFrame:
 def verified(pairs: DataFrame, rows: DataFrame, known: DataFrame, shingle_words: int, percent: int) -> DataFrame:
     """Those distinct rows (a, b), of nodes, whose sets are as similar as asked."""
     pairs = checkpointed(pairs)
+    sweep(rows.sparkSession)  # what found the pairs
     asked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     # One row of each node before the join: a group of copies is one node, and its rows would all meet there.
     heads = known.groupBy("node").agg(F.min("key").alias("key"))
@@ -248,6 +249,7 @@ def verified(pairs: DataFrame, rows: DataFrame, known: DataFrame, shingle_words:
 
     texts = rows.join(small(wanted), "key", "left_semi").select("text")
     sets = checkpointed(texts.mapInArrow(whole, "node long, hs array<long>").dropDuplicates(["node"]))
+    sweep(rows.sparkSession)  # the shuffle of whole sets
     # Where the sets are few, pairs do not carry them through a shuffle.
     size = sets.agg(F.coalesce(F.sum(F.size("hs") + 4), F.lit(0)).alias("n")).first()["n"]
     sets = F.broadcast(sets) if size <= BROADCAST_HASHES else sets
@@ -274,9 +276,9 @@ def near_deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     )
     known = checkpointed(prefixes(rows, shingle_words, percent))
     sets = known.where("prefix is not null")
-    near = close_fingerprints(sets, max_bits).unionByName(neighbours(sets)).distinct()
-    alike = verified(near, rows, known, shingle_words, percent)
+    alike = verified(close_fingerprints(sets, max_bits).unionByName(neighbours(sets)).distinct(), rows, known, shingle_words, percent)
     members = connected_components(alike)
+    sweep(docs.sparkSession)
     placed = sets.join(small(members), "node", "left").withColumn("c", F.coalesce("component", "node"))
     alike = alike.unionByName(verified(candidates(placed, percent), rows, known, shingle_words, percent))
     members = connected_components(alike)
